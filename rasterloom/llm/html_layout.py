@@ -358,11 +358,6 @@ def render(source: str | None) -> str:
     return "\n".join(flow.finish()).strip("\n")
 
 
-def title_of(source: str | None) -> str:
-    m = re.search(r"<title\b[^>]*>(.*?)</title\s*>", source or "", re.I | re.S)
-    return " ".join(entities.unescape(m[1]).split()) if m else ""
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, text) of every row: all visible text of the whole page; null and empty pages give empty text.
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import html as entities
 import re
 import uuid
 
@@ -19,11 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import small_batches, table
-from rasterloom.llm.html_layout import render, title_of
 
 VERSION = "WARC/1.1"
 EPOCH = "1970-01-01T00:00:00Z"
 LINK = re.compile(r"""<(a|area|img|link|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: What the plain text leaves out with its contents, the tags that end a line, and all other tags.
+DROPPED = re.compile(r"<!--.*?-->|<(script|style|template|noscript|title|svg)\b.*?</\1\s*>", re.I | re.S)
+BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
+TAGS = re.compile(r"<[a-zA-Z!/?][^>]*>")
+TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
 #: Field order of a record; None values are left out.
 FIELDS = ["WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Refers-To", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date", "WARC-Concurrent-To", "WARC-Payload-Digest", "WARC-Block-Digest", "WARC-Source-Payload-Digest", "Content-Type", "Content-Length"]
 
@@ -41,6 +46,17 @@ def clean(value: str) -> str:
     return " ".join(str(value).split())
 
 
+def plain_text(page: str) -> str:
+    """The page's text, one line for each block, without markup; white space collapses and empty lines go."""
+    marked = TAGS.sub("", BREAKS.sub("\n", DROPPED.sub(" ", page).replace("\n", " ")))
+    return "\n".join(line for raw in entities.unescape(marked).split("\n") if (line := " ".join(raw.split())))
+
+
+def title_of(page: str) -> str:
+    m = TITLE.search(page)
+    return " ".join(entities.unescape(m[1]).split()) if m else ""
+
+
 def serialise(headers: dict[str, str | None], block: bytes, compress: bool = False) -> bytes:
     """One record as bytes (with compress: one gzip member, reproducible)."""
     head = "".join(f"{k}: {clean(v)}\r\n" for k, v in headers.items() if v is not None)
@@ -97,7 +113,7 @@ def derive(headers: dict[str, str | None], block: bytes) -> list[tuple[dict[str,
     source, url, date = headers["WARC-Record-ID"], headers.get("WARC-Target-URI"), headers.get("WARC-Date")
     digest = headers.get("WARC-Payload-Digest") or sha1(payload)
     ids = {kind: urn(kind, source) for kind in ("metadata", "conversion")}
-    text = render(page).encode("utf-8", "replace")
+    text = plain_text(page).encode("utf-8", "replace")
     fields = [("title", title_of(page)), ("charset", charset), ("source-status", status), *((f"source-{k}", v) for k, v in http.items()), ("source-payload-digest", digest), ("text-length", len(text))]
     fields += [("outlink", f"{clean(next(g for g in k.groups()[2:] if g is not None))} {k[1].lower()}/@{k[2].lower()}") for k in LINK.finditer(page)]
     metadata = "".join(f"{k}: {clean(v)}\r\n" for k, v in fields).encode("utf-8", "replace")
