@@ -151,7 +151,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     def of(counts):
         return F.coalesce(F.create_map(*[F.lit(v) for kv in counts.items() for v in kv])[F.col("dim")], F.lit(0)) if counts else F.lit(0)
 
-    def build(key, t: pa.Table) -> pa.Table:
+    def build(key, t):
         x = np.asarray(t.column("x").combine_chunks().flatten(), np.int64).reshape(t.num_rows, -1)
         tree = MTree(np.asarray(t.column("vec_id"), np.int64), x).finish()
         return pa.table({"dim": [key[0].as_py()], "shard": [key[1].as_py()], "tree": [pickle.dumps(tree, 5)]}, schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("tree", pa.binary())]))
@@ -163,7 +163,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
               .withColumn("block", F.pmod(F.xxhash64("vec_id"), of(blocks)).cast("int"))
               .select("dim", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("shard"), "block", "vec_id", "x"))
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def search(left, right):
         out = []
         for blob in left["tree"]:
             tree = pickle.loads(blob)
@@ -183,9 +183,9 @@ def op3_topk(spark, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), p -> p[1] * p[2]))::BIGINT AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), lambda p: p[1] * p[2]))::BIGINT AS score
   FROM v q, v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
