@@ -109,9 +109,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """
     small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    rows = rows.withColumn("vec", F.when(usable(F.col("vec")), F.transform("vec", lambda x: x + F.lit(0.0))))
-    own = rows
-    whole = own.where("vec IS NOT NULL").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    own = rows.withColumn("vec", F.when(usable(F.col("vec")), F.transform("vec", lambda x: x + F.lit(0.0))))
+    whole = cut(own.where("vec IS NOT NULL").groupBy("vec").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
+                .withColumn("rep", F.monotonically_increasing_id()), "distinct")
     reps = cut(hashed(whole.select("rep", "n", "vec"), tables, k, width, seed), "reps")
 
     def explode_keys(batches):
@@ -170,12 +170,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     found = cut(work.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long, w long, edge boolean"), "found")
     roots = connected_components(found.where("edge").select("a", "b"))
     weights = found.where("not edge").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
-    smallest = roots.groupBy("root").agg(F.min("node").alias("component_id"))
-    classes = (roots.join(smallest, "root").select(F.col("node").alias("rep"), "component_id"))
-    first = own.where("vec IS NOT NULL").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select(F.col("vec"), "rep", "n")
-    named = cut(first.join(weights, "rep", "left").join(classes, "rep", "left")
-                .select("vec", (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")), "named")
-    discard(reps, found, roots)
+    rooted = roots.join(whole.select(F.col("rep").alias("node"), "first_id"), "node")
+    smallest = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
+    classes = roots.join(smallest, "root").select(F.col("node").alias("rep"), "component_id")
+    named = cut(whole.join(weights, "rep", "left").join(classes, "rep", "left")
+                .select("vec", (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id")), "named")
+    discard(whole, reps, found, roots, smallest)
     out = own.select("vec_id", "vec").join(named, "vec", "left")
     comp = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept"))
