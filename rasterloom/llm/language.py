@@ -188,8 +188,9 @@ def identify(rows: DataFrame, model: TextModel, id_col: str, text_col: str, decl
 def language_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """docs' rows (own columns) that identify() does not reject. Rows that share an id stand or fall with the best of them."""
     model = fit_text_model(docs, text_col, lang_col, id_col)
-    kept = identify(docs, model, id_col, text_col, lang_col, source_col).where("not rejected").select(F.col("id").alias("id__")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("id__")), "left_semi")
+    found = cut(identify(docs, model, id_col, text_col, lang_col, source_col).select(F.col("id").alias("id__"), "rejected"), "found")
+    gone = cut(found.groupBy("id__").agg(F.min("rejected").alias("all__")).where("all__").select("id__"), "gone")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("id__")), "left_anti")
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:

@@ -228,11 +228,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of docs whose id is the smallest of their near-duplicate group; repeated rows of it count once."""
-    classes = near_duplicates(docs, id_col, text_col, **kw)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    out = docs.join(kept.withColumnRenamed("doc_id", "kept_id__"), F.col(id_col).eqNullSafe(F.col("kept_id__")), "left_semi")
-    return out.dropDuplicates([id_col])
+    """The rows of docs whose id is the smallest of their near-duplicate group; repeated rows of it count once.
+
+    Texts are not shuffled but for repeated ids: the ids that go, and those that repeat, are joined against, which
+    the planner broadcasts while they are small.
+    """
+    classes = cut(near_duplicates(docs, id_col, text_col, **kw), "members")
+    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id__")).distinct()
+    again = cut(classes.groupBy(F.col("doc_id").alias("id__")).count().where("count > 1").select("id__"), "again")
+    same = lambda: F.col(id_col).eqNullSafe(F.col("id__"))
+    # One id can belong to several texts; it stays if any of them is its group's smallest.
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id__"))
+    gone = cut(gone.join(kept.withColumnRenamed("id__", "kept__"), F.col("id__").eqNullSafe(F.col("kept__")), "left_anti"), "gone")
+    left = docs.join(gone, same(), "left_anti")
+    return left.join(again, same(), "left_anti").unionAll(left.join(again, same(), "left_semi").dropDuplicates([id_col]))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
