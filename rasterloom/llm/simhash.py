@@ -27,6 +27,8 @@ MAX_BITS = 2
 SAMPLE = 4096
 #: Rows of a bucket that one block holds; a larger bucket becomes pairs of blocks, so no task gets it whole.
 BLOCK = 512
+#: Cost of dealing out one row for one mask, in comparisons of two fingerprints.
+PROBE = 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -109,23 +111,42 @@ def allocate(costs: np.ndarray, total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
+def distances(values: np.ndarray, most: int) -> np.ndarray:
+    """How many pairs of values (each pair once, none with itself) differ in 0, 1, .. most bits."""
+    out = np.zeros(most + 1)
+    for a in range(0, len(values), 256):
+        rows = values[a : a + 256]
+        d = np.bitwise_count(rows[:, None] ^ values[None, a:])
+        later = np.arange(d.shape[1])[None, :] > np.arange(len(rows))[:, None]
+        out += [np.count_nonzero((d == t) & later) for t in range(most + 1)]
+    return out
+
+
+def independent(differ: np.ndarray, most: int) -> np.ndarray:
+    """Chance that 0, 1, .. most bits differ if bits differed independently: the least that shares too rare for the sample are taken to be."""
+    out = np.r_[1.0, np.zeros(most)]
+    for q in differ:
+        out = out * (1 - q) + np.r_[0.0, out[:-1] * q]
+    return out
+
+
 def plan_masks(fps: DataFrame, max_bits: int = MAX_BITS) -> list[int]:
     """The bit masks (signed longs) whose equality joins together find every pair within max_bits."""
     n, ones = bit_statistics(fps)
     sample = np.array([r.fp for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     pairs = max(1, len(sample) * (len(sample) - 1) // 2)
+    p = np.diag(ones) / max(n, 1)
     choices = []
     for groups in range(1, max_bits + 3):
         parts = correlated_groups(n, ones, groups)
         costs = np.zeros((groups, max_bits + 2))
         for i, part in enumerate(parts):
-            mask = np.uint64(sum(1 << b for b in part))
-            near = np.zeros(max_bits + 1)
-            for a in range(0, len(sample), 256):
-                d = np.bitwise_count((sample[a : a + 256, None] ^ sample[None, a:]) & mask)
-                near += [np.count_nonzero(d <= t) for t in range(max_bits + 1)]
+            seen = distances(sample & np.uint64(sum(1 << b for b in part)), max_bits) / pairs
+            share = np.maximum(seen, independent(2 * p[part] * (1 - p[part]), max_bits))
             for t in range(max_bits + 1):
-                costs[i, t + 1] = comb(len(part), t) * (n * 20 + near[t] / pairs * n * n / 2)
+                # A pair at distance d in the group meets under every choice of t free bits that holds those d.
+                met = sum(share[d] * comb(len(part) - d, t - d) for d in range(t + 1))
+                costs[i, t + 1] = comb(len(part), t) * n * PROBE + met * n * n / 2
         cost, ts = allocate(costs, max_bits - groups + 1)
         choices.append((cost, groups, parts, ts))
     _, _, parts, ts = min(choices, key=lambda c: c[:2])
@@ -241,6 +262,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id__"))
     gone = cut(gone.join(kept.withColumnRenamed("id__", "kept__"), F.col("id__").eqNullSafe(F.col("kept__")), "left_anti"), "gone")
     left = docs.join(gone, same(), "left_anti")
+    if again.isEmpty():
+        return left
     return left.join(again, same(), "left_anti").unionAll(left.join(again, same(), "left_semi").dropDuplicates([id_col]))
 
 
