@@ -24,8 +24,10 @@ CAPACITY = 2048
 END_ID = 0
 MODEL = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-#: Parts that each length's pieces are dealt into for ranking.
-SALTS = 64
+#: Pieces are ranked within salted lengths: a length gets a salt for every RANKED pieces, or for every 1/RANK_GROUPS of
+#: all pieces where that is more. So the driver sees at most capacity + RANK_GROUPS counts, and a hot length, however
+#: hot, is spread over as many tasks as its share of all groups.
+RANKED, RANK_GROUPS = 1024, 1 << 16
 
 
 class ByteTokenizer:
@@ -169,7 +171,11 @@ def dominating_set(left: Lengths, item: int, capacity: int) -> tuple[int, ...] |
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of a sequence, how many such sequences)] that place every item of counts."""
+    """[(lengths of a sequence, how many such sequences)] that place every item of counts.
+
+    Placing items only makes fewer sets feasible, so a dominating set stays one while copies of its items last and
+    is fixed for all of them at once: the work depends on the distinct lengths, not on how many documents there are.
+    """
     left, out = Lengths(counts), []
     for item in sorted(left.n, reverse=True):
         while left.n.get(item):
@@ -184,8 +190,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             for k in found:
                 need[k] += 1
             have = {k: left.n.get(k, 0) + (k == item) for k in need}
-            exact = len(found) == 2 and sum(found) == capacity or len(found) == 1
-            many = min(have[k] // need[k] for k in need) if exact else 1
+            many = min(have[k] // need[k] for k in need)
             for k in need:
                 if taken := many * need[k] - (k == item):
                     left.take(k, taken)
@@ -243,13 +248,16 @@ def runs_of(placed: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """cut_pieces (a written table) with sequence_id and offset; every row is placed, sequences hold <= capacity.
+def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, ranked_rows: int = RANKED) -> DataFrame:
+    """cut_pieces (a written Parquet table) with sequence_id and offset; every row is placed, sequences hold <= capacity.
 
-    Ids may be null or repeat: each row is a piece of its own. An empty table gives an empty result.
+    Salts also hash a row's place in its file, so that repeated rows of one id are spread as well. Ids may be null or repeat: each row is a piece of its own. An empty table gives an empty result.
     """
     spark = cut_pieces.sparkSession
-    salted = cut_pieces.withColumn("salt__", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    sizes = {r["length"]: r["count"] for r in cut_pieces.groupBy("length").count().collect()}
+    each = max(ranked_rows, -(-sum(sizes.values()) // RANK_GROUPS))
+    salts = F.element_at(F.array(*[F.lit(-(-sizes.get(k, 1) // each)) for k in range(1, capacity + 1)]), F.col("length").cast("int"))
+    salted = cut_pieces.withColumn("salt__", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "_metadata.row_index"), salts).cast("int"))
     tallies = sorted((r["length"], r["salt__"], r["count"]) for r in salted.groupBy("length", "salt__").count().collect())
     counts: dict[int, int] = defaultdict(int)
     firsts = []
