@@ -19,14 +19,17 @@ from rasterloom.llm.common import cut, discard, small_batches, table
 
 #: Labelled documents that the text model takes at most for each language (smallest hash of the id).
 SAMPLE = 1000
+#: Languages that the text model tells apart at most (the most frequent labels): the bound of its table, 16 MB.
+LANGUAGES = 64
 #: Hash buckets of byte trigrams; trigrams of text that count as evidence at most (more only repeat the same).
 GRAMS, EVIDENCE = 1 << 16, 400
 #: Pseudo-counts: rows a host's (domain's, suffix's) prior takes from the level above.
 KAPPA = 8.0
 #: Rows whose best posterior is lower, or whose text has fewer letters, are rejected.
 LEAST_POSTERIOR, LEAST_LETTERS = 0.6, 3
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<[^>]*>", re.I | re.S)
+DECLARED = re.compile(r"<[hH][tT][mM][lL]\b[^>]*?\b[lL][aA][nN][gG]\s*=\s*[\"']?([A-Za-z]{2,3})")
+#: Comments and elements that are not closed hide the rest of the page.
+HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<[^>]*>", re.I | re.S)
 
 
 def gram_codes(text: str) -> np.ndarray:
@@ -57,10 +60,10 @@ class TextModel:
         return total - total.max(initial=-np.inf) if len(total) else total, len(codes)
 
 
-def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> TextModel:
-    """From at most `sample` labelled rows of each language; null languages give no label. No rows: no languages."""
+def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, most: int = LANGUAGES) -> TextModel:
+    """From at most `sample` labelled rows of each of the `most` most frequent languages; null languages give no label. No rows: no languages."""
     small_batches(docs.sparkSession)
-    langs = sorted(r.lang for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.lower(F.col(lang_col)).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(64).collect())
+    langs = sorted(r.lang for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.lower(F.col(lang_col)).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most).collect())
     counts = {lang: np.zeros(GRAMS) for lang in langs}
     slim = docs.select(F.col(id_col).alias("id"), F.lower(F.col(lang_col)).alias("lang"))
     picked = None
@@ -108,7 +111,7 @@ def text_evidence(rows: DataFrame, model: TextModel, markup: bool) -> DataFrame:
             for text, said, url in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 text = text or ""
                 if markup:
-                    found = DECLARED.search(text[:4096])
+                    found = DECLARED.search(text)
                     said = found[1] if found else said
                     text = HIDDEN.sub(" ", text)
                 ll, n = m.evidence(text)
