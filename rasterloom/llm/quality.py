@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rasterloom.llm.common import held_out, small_batches, table
 
@@ -55,8 +56,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "q__"
             x = np.array([statistics(t) for t in b.column(at).to_pylist()], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in x.T)], [*names, *(prefix + f for f in FEATURES)])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, schema + "".join(f", `{prefix}{f}` double" for f in FEATURES))
+    return docs.mapInArrow(run, StructType([*docs.schema, *(StructField(prefix + f, DoubleType()) for f in FEATURES)]))
 
 
 def grow(x: np.ndarray, edges: list[np.ndarray], binned: np.ndarray, grad: np.ndarray, hess: np.ndarray, rows: np.ndarray, depth: int, path: tuple, rules: list, step: np.ndarray) -> None:
@@ -177,8 +177,8 @@ def score(docs: DataFrame, model: tuple[float, list], text_col: str = "text") ->
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' rows (own columns) that score at least threshold."""
-    kept = score(docs, train(docs, labels, id_col, text_col), text_col).where(F.col("score") >= threshold)
+    """docs' rows (own columns, one named score included) that score at least threshold."""
+    kept = with_statistics(docs, text_col).where(compile_rules(train(docs, labels, id_col, text_col)) >= threshold)
     return kept.select(*docs.columns)
 
 
