@@ -82,6 +82,17 @@ class MTree:
         self.radius = np.array(self.radius)
         return self
 
+    def __getstate__(self):
+        """Without the points, which are the vectors once more: a tree travels to every block of queries."""
+        narrow = np.min_scalar_type(-int(self.exact) - 1)
+        return {k: v for k, v in self.__dict__.items() if k != "points"} | {"x": self.x.astype(narrow)}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.x = self.x.astype(np.int64)
+        f = self.x.astype(np.float64)
+        self.points = np.concatenate([f, np.sqrt(np.maximum(self.top - (f * f).sum(1), 0))[:, None]], 1)
+
     def search(self, query: np.ndarray, k: int, skip: int | None) -> list[tuple[int, int]]:
         """(score, id) of the k best rows but `skip`, ties to the smaller id; all rows if fewer."""
         if not len(self.ids):
