@@ -24,11 +24,11 @@ from rasterloom.llm.common import small_batches, table
 VERSION = "WARC/1.1"
 EPOCH = "1970-01-01T00:00:00Z"
 LINK = re.compile(r"""<(a|area|img|link|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-#: What the plain text leaves out with its contents, the tags that end a line, and all other tags.
-DROPPED = re.compile(r"<!--.*?-->|<(script|style|template|noscript|title|svg)\b.*?</\1\s*>", re.I | re.S)
+#: What the plain text leaves out with its contents (what is not closed: up to the page's end), the tags that end a line, and all other tags.
+DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title|svg)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
 BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
 TAGS = re.compile(r"<[a-zA-Z!/?][^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
+TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
 #: Field order of a record; None values are left out.
 FIELDS = ["WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Refers-To", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date", "WARC-Concurrent-To", "WARC-Payload-Digest", "WARC-Block-Digest", "WARC-Source-Payload-Digest", "Content-Type", "Content-Length"]
 
