@@ -93,7 +93,19 @@ def test_quality_edges(spark):
         assert abs(s - 1 / (1 + np.exp(-z))) < 1e-12
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.train(docs_of(spark, ODD), labels) == (0.0, [])
-    assert quality.quality_filter(docs_of(spark, ODD).drop("score"), labels).count() == len(ODD)
+    kept = quality.quality_filter(docs_of(spark, ODD), labels)
+    assert kept.columns == docs_of(spark, ODD).columns and [r.score for r in kept.collect()] == [1] * len(ODD)
+
+
+def test_tree_travels_without_its_points():
+    rng = np.random.default_rng(12)
+    x = rng.integers(-500, 500, (700, 8))
+    tree = topk.MTree(np.arange(700), x).finish()
+    blob = __import__("pickle").dumps(tree, 5)
+    again = __import__("pickle").loads(blob)
+    assert (again.points == tree.points).all() and len(blob) < tree.points.nbytes + tree.x.nbytes
+    for q in x[:30]:
+        assert again.search(q, 10, None) == tree.search(q, 10, None)
 
 
 def test_topk_edges(spark):
@@ -151,6 +163,33 @@ def test_simhash_links_with_small_blocks(spark):
         assert len({(want[f], got[f]) for f in fps}) == len(set(want.values())) == len(set(got.values()))
 
 
+def test_candidate_estimates():
+    rng = np.random.default_rng(9)
+    v = np.append(rng.integers(0, 1 << 12, 600), [5, 5, 7]).astype(np.uint64)
+    want = np.zeros(3)
+    for i in range(len(v)):
+        for d in np.bitwise_count(v[i + 1 :] ^ v[i]):
+            want[d : d + 1] += 1
+    assert simhash.distances(v, 2).tolist() == want.tolist() and simhash.distances(v[:0], 2).tolist() == [0, 0, 0]
+    assert np.allclose(simhash.independent(np.full(10, 0.5), 2), np.array([1, 10, 45]) / 1024)
+
+
+def test_masks_follow_the_number_of_fingerprints(spark, monkeypatch):
+    """Few fingerprints: few wide probes; so many that chance pairs dominate: narrow ones. Every plan finds all pairs."""
+    rng = np.random.default_rng(10)
+    df = common.cut(spark.createDataFrame([(int(f),) for f in rng.integers(0, 1 << 63, 3000)], "fp long"), "m")
+    n, ones = simhash.bit_statistics(df)
+    free = []
+    for times in (1, 1 << 22):
+        monkeypatch.setattr(simhash, "bit_statistics", lambda _, k=times: (n * k, ones * k))
+        masks = simhash.plan_masks(df)
+        free.append(np.mean([64 - (m & (1 << 64) - 1).bit_count() for m in masks]))
+        for _ in range(300):
+            flip = sum(1 << int(b) for b in rng.choice(64, 2, False))
+            assert any(not m & (flip - (1 << 64) if flip >= 1 << 63 else flip) for m in masks)
+    assert free[0] > free[1]
+
+
 def test_threshold_allocation():
     rng = np.random.default_rng(4)
     costs = rng.random((3, 4))
@@ -239,6 +278,28 @@ def test_packing_plan_against_exact():
     assert lost <= 2
 
 
+def test_packing_plan_of_very_many():
+    rng = np.random.default_rng(11)
+    counts = {int(k): int(n) for k, n in zip(range(1, 2049), rng.integers(0, 10**8, 2048))}
+    used = defaultdict(int)
+    for held, n in packing.plan(counts):
+        assert sum(held) <= 2048
+        for h in held:
+            used[h] += n
+    assert {k: v for k, v in used.items() if v} == {k: v for k, v in counts.items() if v}
+
+
+def test_packing_of_a_hot_length_and_repeated_rows(spark):
+    rows = [(None, "same")] * 900 + [(1, "same")] * 900 + [(k, "other words") for k in range(200)]
+    cut = common.cut(packing.pieces(docs_of(spark, rows)), "p")
+    out = packing.pack(cut, ranked_rows=16).toPandas()
+    places = set(zip(out.sequence_id, out.offset))
+    assert len(out) == len(rows) == len(places)
+    for _, g in out.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 2048
+
+
 def test_packing_rows(spark):
     coder = packing.ByteTokenizer(common.tokenizer_path(packing.MODEL))
     rows = ODD + [(20 + i, "some words " * (40 * i)) for i in range(60)] + [(90, "<|endoftext|> x")]
@@ -288,6 +349,7 @@ def test_warc(spark):
     written = b"".join(bytes(r.record) for r in warc.serialised(warc.derivatives(records)).where("page_id = 1").collect())
     assert sorted(h["WARC-Type"] for h, _ in warc.parse(written)) == ["conversion", "metadata"]
     assert warc.derivatives(records.limit(0)).count() == 0
+    assert warc.plain_text("a" + "<!-- " * 20000) == warc.plain_text("a" + "<svg> " * 20000) == "a" and warc.title_of("<title>t" * 20000).startswith("t<title>t")
 
 
 def test_language(spark):
@@ -298,6 +360,8 @@ def test_language(spark):
     odd = language.identify(docs_of(spark, [*ODD, (50, "12345 67890"), (51, "el perro y la casa de los niños")]), model, "doc_id", "text").toPandas().set_index("id")
     assert odd.loc[[0, 1, 2, 50], "rejected"].all() and not odd.loc[51, "rejected"]
     assert language.language_filter(docs.limit(0)).count() == 0
+    late = spark.createDataFrame([(1, "<!doctype html>" + " " * 9000 + "<HTML class=x LANG=es>"), (2, "<!-- <b> " * 20000), (3, "<script> " * 20000)], "page_id long, html string")
+    assert {r.id: r.declared for r in language.identify(late, model, "page_id", "html", markup=True).collect()} == {1: "es", 2: None, 3: None}
     pages = spark.createDataFrame([(1, "http://h.example.es/", "<html lang='es'><p>zz", 1)] * 2 + [(2, None, None, 1)], "page_id long, url string, html string, host int")
     rows = language.identify(pages, model, "page_id", "html", None, "url", True).collect()
     assert len(rows) == 3 and {r.host for r in rows} == {"h.example.es", None}
@@ -309,7 +373,7 @@ def test_fusion_against_plain_loops(spark):
     got = {r.id: r for r in language.identify(pages, model, "page_id", "html", None, "url", True).collect()}
     rows = []
     for p in pages.collect():
-        found = language.DECLARED.search(p.html[:4096])
+        found = language.DECLARED.search(p.html)
         ll, n = model.evidence(language.HIDDEN.sub(" ", p.html))
         w = np.exp(ll - ll.max())
         rows.append((p.page_id, found and found[1].lower(), language.host_parts(p.url), n, ll, w / w.sum()))
