@@ -8,6 +8,7 @@ their place by rank within their length; ranks come from salted counts, never fr
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right
@@ -28,13 +29,16 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: all pieces where that is more. So the driver sees at most capacity + RANK_GROUPS counts, and a hot length, however
 #: hot, is spread over as many tasks as its share of all groups.
 RANKED, RANK_GROUPS = 1024, 1 << 16
+#: The ranks' encoder gives up on white space of a million characters; texts with a run of this length go through the tokenizers file.
+LONG_SPACE = 100_000
 
 
 class ByteTokenizer:
     """Ids of a byte-level BPE `tokenizers` file as bytes (little-endian unsigned 32-bit), without special tokens added.
 
     `ranks`: a file with the same vocabulary as ranks. Whole texts are then encoded by ranks, several times faster
-    and to the same ids; texts that spell a special token always go through the tokenizers file itself.
+    and to the same ids; texts that spell a special token or hold a very long run of white space always go through
+    the tokenizers file itself.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
@@ -45,6 +49,7 @@ class ByteTokenizer:
 
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.spaces = re.compile(r"\s{%d}" % LONG_SPACE)
         self.ordinary = None
         if ranks:
             import base64
@@ -57,7 +62,7 @@ class ByteTokenizer:
             self.ordinary = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
-        if self.ordinary and not any(s in text for s in self.special):
+        if self.ordinary and not any(s in text for s in self.special) and not (len(text) >= LONG_SPACE and self.spaces.search(text)):
             return array("I", self.ordinary(text)).tobytes()
         return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
