@@ -35,6 +35,10 @@ P_SCOPE = frozenset("button td th caption table html".split())
 HEAD = frozenset("title style script meta link base template noscript".split())
 
 
+#: Lines of a cell that are longer do not widen their column, so padding stays in proportion to the page.
+WIDEST = 120
+
+
 class Node:
     __slots__ = ("tag", "attrs", "kids")
 
@@ -46,6 +50,7 @@ def build(source: str) -> Node:
     """The tree of a document; text kids are strings with entities resolved."""
     root, body = Node("html"), None
     stack, pos, size = [root], 0, len(source)
+    last = source.rfind(">")  # no tag ends behind it
     open_count: dict[str, int] = {}
 
     def push(node: Node) -> None:
@@ -77,6 +82,9 @@ def build(source: str) -> Node:
         if lt < 0:
             text(source[pos:])
             break
+        if lt > last:
+            text(source[pos:].partition("<!--")[0])
+            break
         m = TOKEN.match(source, lt)
         if m is None:
             text(source[pos : lt + 1])
@@ -134,7 +142,7 @@ def build(source: str) -> Node:
         if name in VOID or attrs.endswith("/") and name in ("svg", "path", "use"):
             stack[-1].kids.append(node)
         elif name in RAW:
-            end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>", re.I).search(source, pos)
+            end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>", re.I).search(source, pos, last + 1)
             inner = source[pos : end.start() if end else size]
             stack[-1].kids.append(node)
             node.kids.append(entities.unescape(inner) if name in ("title", "textarea") else inner)
@@ -207,7 +215,7 @@ class Flow:
 
 
 class Grid:
-    """Cells of one table, rendered in aligned columns."""
+    """Cells of one table, rendered in aligned columns; lines over WIDEST characters push the rest of their row."""
 
     def __init__(self):
         self.rows: list[list[tuple[list[str], int]]] = []
@@ -219,12 +227,12 @@ class Grid:
             for cell, span in row:
                 widths += [0] * (col + span - len(widths))
                 if span == 1:
-                    widths[col] = max(widths[col], max(map(len, cell), default=0))
+                    widths[col] = max(widths[col], max((len(s) for s in cell if len(s) <= WIDEST), default=0))
                 col += span
         for row in self.rows:
             col = 0
             for cell, span in row:
-                lack = max(map(len, cell), default=0) - sum(widths[col : col + span]) - 2 * (span - 1)
+                lack = max((len(s) for s in cell if len(s) <= WIDEST), default=0) - sum(widths[col : col + span]) - 2 * (span - 1)
                 if span > 1 and lack > 0:
                     widths[col + span - 1] += lack
                 col += span
