@@ -23,12 +23,13 @@ from rasterloom.llm.common import small_batches, table
 
 VERSION = "WARC/1.1"
 EPOCH = "1970-01-01T00:00:00Z"
-LINK = re.compile(r"""<(a|area|img|link|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-#: What the plain text leaves out with its contents (what is not closed: up to the page's end), the tags that end a line, and all other tags.
+LINKING = re.compile(r"<(a|area|img|link|script|iframe)\b[^>]*", re.I)
+TARGET = re.compile(r"""(?<=[\s/])(href|src)\s*=\s*""", re.I)
+VALUE = re.compile(r"""(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+#: What the plain text leaves out with its contents (what is not closed: up to the page's end), all tags (group 1: those that end a line).
 DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title|svg)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
-BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-TAGS = re.compile(r"<[a-zA-Z!/?][^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
+TAGS = re.compile(r"<(?:(/?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b)|[a-z!/?])[^>]*>", re.I)
+TITLE = re.compile(r"<title\b[^<>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
 #: Field order of a record; None values are left out.
 FIELDS = ["WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Refers-To", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date", "WARC-Concurrent-To", "WARC-Payload-Digest", "WARC-Block-Digest", "WARC-Source-Payload-Digest", "Content-Type", "Content-Length"]
 
@@ -48,7 +49,9 @@ def clean(value: str) -> str:
 
 def plain_text(page: str) -> str:
     """The page's text, one line for each block, without markup; white space collapses and empty lines go."""
-    marked = TAGS.sub("", BREAKS.sub("\n", DROPPED.sub(" ", page).replace("\n", " ")))
+    page = DROPPED.sub(" ", page).replace("\n", " ")
+    end = page.rfind(">") + 1  # no tag ends behind it
+    marked = TAGS.sub(lambda m: "\n" if m[1] else "", page[:end]) + page[end:]
     return "\n".join(line for raw in entities.unescape(marked).split("\n") if (line := " ".join(raw.split())))
 
 
@@ -57,6 +60,17 @@ def title_of(page: str) -> str:
     return " ".join(entities.unescape(m[1]).split()) if m else ""
 
 
+def links_of(page: str) -> list[tuple[str, str, str]]:
+    """(target, element, attribute) of each link in the page's order: the first href or src with a value of each tag."""
+    out = []
+    for tag in LINKING.finditer(page):
+        for name in TARGET.finditer(page, tag.end(1), tag.end()):
+            if value := VALUE.match(page, name.end()):
+                out.append((next(g for g in value.groups() if g is not None), tag[1].lower(), name[1].lower()))
+                break
+    return out
+
+
 def serialise(headers: dict[str, str | None], block: bytes, compress: bool = False) -> bytes:
     """One record as bytes (with compress: one gzip member, reproducible)."""
     head = "".join(f"{k}: {clean(v)}\r\n" for k, v in headers.items() if v is not None)
@@ -115,7 +129,7 @@ def derive(headers: dict[str, str | None], block: bytes) -> list[tuple[dict[str,
     ids = {kind: urn(kind, source) for kind in ("metadata", "conversion")}
     text = plain_text(page).encode("utf-8", "replace")
     fields = [("title", title_of(page)), ("charset", charset), ("source-status", status), *((f"source-{k}", v) for k, v in http.items()), ("source-payload-digest", digest), ("text-length", len(text))]
-    fields += [("outlink", f"{clean(next(g for g in k.groups()[2:] if g is not None))} {k[1].lower()}/@{k[2].lower()}") for k in LINK.finditer(page)]
+    fields += [("outlink", f"{clean(target)} {element}/@{attribute}") for target, element, attribute in links_of(page)]
     metadata = "".join(f"{k}: {clean(v)}\r\n" for k, v in fields).encode("utf-8", "replace")
     out = []
     for kind, other, body, media in (("metadata", "conversion", metadata, "application/warc-fields"), ("conversion", "metadata", text, "text/plain; charset=utf-8")):
