@@ -162,11 +162,12 @@ def compile_rules(model: tuple[float, list], prefix: str = "q__") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[float, list]:
-    """A model from the labelled rows that are not held out, at most `sample` of them. Only statistics reach the driver."""
+    """A model from the labelled rows that are not held out, at most `sample` of them, repeated ids included. Only statistics reach the driver."""
     marked = labels.where(F.col(label_col).isNotNull() & ~held_out("doc_id")).select(F.col("doc_id").alias("id__"), F.col(label_col).cast("double").alias("y__"))
     some = marked.orderBy(F.xxhash64("id__"), "id__", "y__").limit(sample)
-    rows = with_statistics(docs.select(F.col(id_col).alias("id__"), F.col(text_col).alias("text")).join(F.broadcast(some), "id__").select("y__", "text"))
-    got = rows.select("y__", *(f"q__{f}" for f in FEATURES)).toPandas().to_numpy(np.float64)
+    rows = with_statistics(docs.select(F.col(id_col).alias("id__"), F.col(text_col).alias("text")).join(F.broadcast(some), "id__").select("id__", "y__", "text"))
+    values = rows.select("y__", *(f"q__{f}" for f in FEATURES), F.xxhash64("id__").alias("h__"))
+    got = values.orderBy("h__", *values.columns[:-1]).limit(sample).drop("h__").toPandas().to_numpy(np.float64)
     got = got[np.lexsort(got.T[::-1])]
     return fit(got[:, 1:], (got[:, 0] > 0.5).astype(float))
 
