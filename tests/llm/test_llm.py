@@ -332,6 +332,34 @@ def test_ranks_give_the_same_ids():
         assert fast.encode(t) == slow.encode(t)
 
 
+def test_very_long_white_space():
+    fast = packing.ByteTokenizer(common.tokenizer_path(packing.MODEL), common.tokenizer_path(packing.RANKS))
+    for t in (" " * 1_200_000, "a" + "\n" * 1_200_000 + "b", "x" * 200_000, "\u3000" * 150_000):
+        assert fast.encode(t) == np.array(fast.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_quality_sample_bounds_repeated_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"some words {k}") for k in range(50)] + [(2, "others")], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(y)))
+    quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int"), sample=20)
+    assert 0 < seen[0] <= 20
+
+
+@pytest.mark.parametrize("part", ["<a ", "<", "<html ", "</script ", "<a \"", "<title ", "<!-- ", "<p href "])
+def test_unclosed_markup_is_linear(part):
+    for page in (part * 100_000, part * 100_000 + ">", "<script>" + part * 100_000):
+        html_layout.render(page), warc.plain_text(page), warc.title_of(page), warc.links_of(page), language.HIDDEN.sub(" ", page), language.DECLARED.search(page)
+
+
+def test_links_and_wide_cells():
+    page = "<a class=\"src=x\" data-src='no' href = 'p>q'>t</a><IMG SRC=i.png><a name=href>u</a><script src=\"s.js\"></script><a HREF"
+    assert warc.links_of(page) == [("p>q", "a", "href"), ("i.png", "img", "src"), ("s.js", "script", "src")]
+    wide = "w " * 5000 + "end"
+    text = html_layout.render("<table><tr><td>" + wide + "<td>x" + "<tr><td>a<td>b" * 1000 + "</table>")
+    assert text.splitlines()[0] == wide + "  x" and text.splitlines()[1:] == ["a  b"] * 1000
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "http://a.example/x", "<title>T &amp; u</title><p>Hi<script>no</script> <a href='/y'>there</a>", 5), (2, None, None, 6), (2, None, None, 6), (3, "http://b.example", "", 7)], "page_id long, url string, html string, type int")
     records = warc.responses(pages)
