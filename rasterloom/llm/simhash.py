@@ -14,7 +14,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import cut, discard, small_batches, table
@@ -50,17 +50,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): fp is the unsigned fingerprint's bits in a signed long. Null texts count as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, row: Column | None = None) -> DataFrame:
+    """(doc_id, fp): fp is the unsigned fingerprint's bits in a signed long. Null texts count as empty. row: one more column, a long."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    more = [] if row is None else [row.alias("row")]
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more).mapInArrow(run, f"doc_id {kind}, fp long" + ", row long" * len(more))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -230,6 +231,17 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
+def components(own: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root, component_id) for each distinct fingerprint of own: root tells components apart, component_id is the smallest id in one."""
+    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    roots = connected_components(links(distinct, max_bits))
+    labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = cut(labelled.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
+    classes = cut(labelled.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"), "classes")
+    discard(distinct, roots, smallest)
+    return classes
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs.
 
@@ -237,34 +249,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id reachable over links; a null id never becomes a component's id unless the component has no other. Repeated
     rows stay. An empty table gives an empty result; other columns of docs are not read.
     """
-    small_batches(docs.sparkSession)
     own = cut(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = connected_components(links(distinct, max_bits))
-    labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = cut(labelled.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
-    classes = cut(labelled.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "classes")
-    discard(distinct, roots, smallest)
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return own.join(components(own, max_bits).drop("root"), "fp").select("doc_id", "fp", "component_id")
+
+
+def row_hash(docs: DataFrame, text_col: str) -> Column:
+    """Hash of a whole row, its text first; what cannot be hashed counts as a string."""
+    name = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    odd = lambda c: any(k in docs.schema[c].dataType.simpleString() for k in ("map<", "variant"))
+    return F.xxhash64(F.col(text_col), *[name(c).cast("string") if odd(c) else name(c) for c in docs.columns])
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of docs whose id is the smallest of their near-duplicate group; repeated rows of it count once.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """One row of docs for each near-duplicate group: the first by (id with nulls last, fingerprint, hash of the row).
 
-    Texts are not shuffled but for repeated ids: the ids that go, and those that repeat, are joined against, which
-    the planner broadcasts while they are small.
+    Ids may repeat or be null: rows of different groups never replace one another. Texts are not shuffled but for
+    kept rows that repeat as a whole: the (id, hash) of the rows that go, and of those that repeat, are joined
+    against, which the planner broadcasts while they are small.
     """
-    classes = cut(near_duplicates(docs, id_col, text_col, **kw), "members")
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id__")).distinct()
-    again = cut(classes.groupBy(F.col("doc_id").alias("id__")).count().where("count > 1").select("id__"), "again")
-    same = lambda: F.col(id_col).eqNullSafe(F.col("id__"))
-    # One id can belong to several texts; it stays if any of them is its group's smallest.
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id__"))
-    gone = cut(gone.join(kept.withColumnRenamed("id__", "kept__"), F.col("id__").eqNullSafe(F.col("kept__")), "left_anti"), "gone")
-    left = docs.join(gone, same(), "left_anti")
+    own = cut(fingerprints(docs, id_col, text_col, shingle, seed, row_hash(docs, text_col)), "fingerprints")
+    members = cut(own.join(components(own, max_bits).drop("component_id"), "fp").select("root", "doc_id", "fp", "row"), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")
+    first = cut(members.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+                .select("root", F.col("first.doc_id").alias("id__"), F.col("first.row").alias("row__")), "first")
+    same = lambda c, h: c.eqNullSafe(F.col("id__")) & (h == F.col("row__"))
+    grouped = members.join(first, "root").withColumn("stays", same(F.col("doc_id"), F.col("row")))
+    gone = cut(grouped.where("NOT stays").select(F.col("doc_id").alias("id__"), F.col("row").alias("row__")).distinct(), "gone")
+    again = cut(grouped.where("stays").groupBy("id__", "row__").count().where("count > 1").select("id__", "row__"), "again")
+    discard(own, members, first)
+    this = lambda: same(F.col(id_col), row_hash(docs, text_col))
+    left = docs.join(gone, this(), "left_anti")
     if again.isEmpty():
         return left
-    return left.join(again, same(), "left_anti").unionAll(left.join(again, same(), "left_semi").dropDuplicates([id_col]))
+    once = left.join(again, this(), "left_semi").withColumn("row__", row_hash(docs, text_col)).dropDuplicates([id_col, "row__"]).drop("row__")
+    return left.join(again, this(), "left_anti").unionAll(once)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

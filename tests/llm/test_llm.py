@@ -151,6 +151,19 @@ def test_simhash_edges_and_groups(spark):
     assert simhash.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_dedup_keeps_one_row_of_each_component_whatever_the_ids(spark):
+    words = lambda seed: " ".join(f"w{k}" for k in np.random.default_rng(seed).integers(0, 10**6, 60))
+    rows = [(None, words(0)), (None, words(1)), (None, words(1)), (5, words(2)), (5, words(3)), (3, words(3)), (7, words(4)), (7, words(5)), (9, words(5)), (None, words(5))]
+    for given in (rows, rows[::-1]):
+        kept = simhash.deduplicate(docs_of(spark, given))
+        assert kept.columns == docs_of(spark, given).columns
+        want = [(None, words(0)), (None, words(1)), (5, words(2)), (3, words(3)), (7, words(4)), (7, words(5))]
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    near = spark.createDataFrame([(1, words(6), {"k": "b"}), (1, words(6), {"k": "a"}), (1, words(7), {"k": "a"})], "doc_id long, text string, tags map<string,string>")
+    assert len({tuple(r.tags.items()) for _ in range(2) for r in simhash.deduplicate(near.repartition(3)).collect() if r.text == words(6)}) == 1
+    assert simhash.deduplicate(near).count() == 2
+
+
 def test_simhash_links_with_small_blocks(spark):
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 1 << 63, 3)
