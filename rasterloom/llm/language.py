@@ -12,15 +12,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import cut, discard, small_batches, table
 
 #: Labelled documents that the text model takes at most for each language (smallest hash of the id).
 SAMPLE = 1000
-#: Languages that the text model tells apart at most (the most frequent labels): the bound of its table, 16 MB.
-LANGUAGES = 64
+#: Hash ranges of ids, counted to find each language's sample without sorting all its rows.
+RANGES = 4096
 #: Hash buckets of byte trigrams; trigrams of text that count as evidence at most (more only repeat the same).
 GRAMS, EVIDENCE = 1 << 16, 400
 #: Pseudo-counts: rows a host's (domain's, suffix's) prior takes from the level above.
@@ -44,50 +44,76 @@ def gram_codes(text: str) -> np.ndarray:
 
 
 class TextModel:
-    """Log-likelihood of each language for hashed trigrams."""
-
-    def __init__(self, langs: list[str], table_: np.ndarray):
-        self.langs, self.table = langs, table_.astype(np.float32)
+    """Log-likelihood of each language for hashed trigrams; only what differs from an unseen trigram's is held."""
+
+    def __init__(self, langs: list[str], grams: np.ndarray, at: np.ndarray, counts: np.ndarray):
+        """counts[k] times trigram grams[k] in language number at[k], each pair once."""
+        self.langs = langs
+        order = np.lexsort((at, grams))
+        grams, self.at, counts = grams[order], at[order].astype(np.int32), counts[order]
+        sums = np.bincount(self.at, weights=counts, minlength=len(langs)) + 0.5 * GRAMS
+        self.unseen = np.log(0.5 / sums)
+        self.more = np.log((counts + 0.5) / 0.5).astype(np.float32)
+        self.starts = np.searchsorted(grams, np.arange(GRAMS + 1))
 
     def evidence(self, text: str) -> tuple[np.ndarray, int]:
         """(log-likelihoods relative to the best, letters). Long texts count as EVIDENCE trigrams at their mean."""
         codes = gram_codes(text)
-        total = np.zeros(len(self.langs))
-        for i in range(0, len(codes), 1 << 16):
-            total += self.table[:, codes[i : i + (1 << 16)]].sum(1, dtype=np.float64)
+        own, times = np.unique(codes, return_counts=True)
+        total = self.unseen * len(codes)
+        step = max(1, (1 << 20) // max(1, len(self.langs)))
+        for i in range(0, len(own), step):
+            first = self.starts[own[i : i + step]]
+            sizes = self.starts[own[i : i + step] + 1] - first
+            held = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+            total += np.bincount(self.at[held], self.more[held] * np.repeat(times[i : i + step], sizes), len(self.langs))
         if len(codes) > EVIDENCE:
             total *= EVIDENCE / len(codes)
         return total - total.max(initial=-np.inf) if len(total) else total, len(codes)
 
 
-def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, most: int = LANGUAGES) -> TextModel:
-    """From at most `sample` labelled rows of each of the `most` most frequent languages; null languages give no label. No rows: no languages."""
+def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int) -> DataFrame:
+    """(lang, text) of each language's first `sample` labelled rows by (hash of the id, id).
+
+    Counts of hash ranges tell where each sample ends, so that only the rows of the range it ends in are ranked.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.lower(F.col(lang_col)).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("part", F.shiftright("h", 64 - RANGES.bit_length() + 1))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("part")) - F.col("n")
+    parts = rows.groupBy("lang", "part").agg(F.count("*").alias("n")).withColumn("before", before).where(F.col("before") < sample)
+    ends = cut(parts.groupBy("lang").agg(F.max(F.struct("part", "before")).alias("end")).select("lang", F.col("end.part").alias("end"), "end.before"), "ends")
+    taken = rows.join(ends, "lang").where("part <= end")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    last = taken.where("part = end").withColumn("rank", rank).where(F.col("rank") <= sample).where(F.col("before") + F.col("rank") <= sample)
+    return taken.where("part < end").select("lang", "text").unionAll(last.select("lang", "text"))
+
+
+def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> TextModel:
+    """From at most `sample` labelled rows of each language; null languages give no label. No rows: no languages."""
     small_batches(docs.sparkSession)
-    langs = sorted(r.lang for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.lower(F.col(lang_col)).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most).collect())
-    counts = {lang: np.zeros(GRAMS) for lang in langs}
-    slim = docs.select(F.col(id_col).alias("id"), F.lower(F.col(lang_col)).alias("lang"))
-    picked = None
-    for lang in langs:
-        one = slim.where(F.col("lang") == lang).select("id", "lang").orderBy(F.xxhash64("id"), "id").limit(sample)
-        picked = one if picked is None else picked.unionAll(one)
-    if picked is None:
-        return TextModel([], np.zeros((0, GRAMS)))
-    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(picked.distinct()), ["id", "lang"], "left_semi")
 
     def run(batches):
         own = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own.setdefault(lang, np.zeros(GRAMS, np.int64))
-                own[lang] += np.bincount(gram_codes(text or ""), minlength=GRAMS)
+                grams, n = np.unique(gram_codes(text or ""), return_counts=True)
+                held = own.setdefault(lang, {})
+                for g, k in zip(grams.tolist(), n.tolist()):
+                    held[g] = held.get(g, 0) + k
         for lang, c in own.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(c) + 1), pa.string()), pa.array([-1, *c], pa.int64()), pa.array([0, *c.values()], pa.int64())], ["lang", "gram", "n"])
 
-    for r in rows.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r.lang][r.gram] = r.n
-    t = np.stack([counts[lang] for lang in langs]) + 0.5
-    return TextModel(langs, np.log(t / t.sum(1, keepdims=True)))
+    counted = labelled_sample(docs, text_col, lang_col, id_col, sample).mapInArrow(run, "lang string, gram long, n long")
+    found = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # One row a language, whose trigram -1 stands for a language whose texts have none.
+    rows = found.groupBy("lang").agg(F.collect_list("gram").alias("gram"), F.collect_list("n").alias("n")).toLocalIterator()
+    held = sorted(((r.lang, np.array(r.gram), np.array(r.n, float)) for r in rows), key=lambda r: r[0])
+    if not held:
+        return TextModel([], *[np.zeros(0, np.int64)] * 3)
+    grams, counts = (np.concatenate([r[k] for r in held]) for k in (1, 2))
+    at = np.repeat(np.arange(len(held)), [len(r[1]) for r in held])
+    seen = grams >= 0
+    return TextModel([r[0] for r in held], grams[seen], at[seen], counts[seen])
 
 
 def host_parts(url: str | None) -> tuple[str | None, str | None, str | None]:
@@ -99,14 +125,29 @@ def host_parts(url: str | None) -> tuple[str | None, str | None, str | None]:
     return ".".join(labels), ".".join(labels[-3:]), labels[-1]
 
 
+def slices(batch: pa.RecordBatch, langs: int):
+    """Parts of a batch whose arrays over the languages stay small."""
+    step = max(1, (1 << 18) // max(1, langs))
+    return (batch.slice(i, step) for i in range(0, batch.num_rows, step))
+
+
+def vectors(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
+def softmax(ll: np.ndarray) -> np.ndarray:
+    weights = np.exp(ll - ll.max(1, keepdims=True))
+    return weights / weights.sum(1, keepdims=True)
+
+
 def text_evidence(rows: DataFrame, model: TextModel, markup: bool) -> DataFrame:
-    """(id, declared, host, domain, suffix, letters, ll array) of (id, text, declared, url)."""
+    """(id, declared, host, domain, suffix, letters, ll array, p array: posteriors by the text alone) of (id, text, declared, url)."""
     small_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, len(m.langs))):
             declared, hosts, letters, lls = [], [], [], []
             for text, said, url in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 text = text or ""
@@ -120,15 +161,18 @@ def text_evidence(rows: DataFrame, model: TextModel, markup: bool) -> DataFrame:
                 letters.append(n)
                 lls.append(ll)
             h = [pa.array([x[i] for x in hosts], pa.string()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(declared, pa.string()), *h, pa.array(letters, pa.int64()), pa.array(lls, pa.list_(pa.float64()))], ["id", "declared", "host", "domain", "suffix", "letters", "ll"])
+            ll = np.array(lls).reshape(len(lls), len(m.langs))
+            p = softmax(ll) if len(m.langs) else ll
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(declared, pa.string()), *h, pa.array(letters, pa.int64()), vectors(ll), vectors(p)], ["id", "declared", "host", "domain", "suffix", "letters", "ll", "p"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, declared string, host string, domain string, suffix string, letters long, ll array<double>")
+    return rows.mapInArrow(run, f"id {kind}, declared string, host string, domain string, suffix string, letters long, ll array<double>, p array<double>")
 
 
-def softmax(ll):
-    weights = F.transform(ll, lambda x: F.exp(x - F.array_max(ll)))
-    return F.transform(weights, lambda x: x / F.aggregate(weights, F.lit(0.0), lambda a, y: a + y))
+def vector_sums(rows: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """(keys, n array): sums of the arrays in col by position."""
+    one = rows.select(*keys, F.posexplode(col).alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("x"))
+    return one.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("n"))
 
 
 def identify(rows: DataFrame, model: TextModel, id_col: str, text_col: str, declared_col: str | None = None, url_col: str | None = None, markup: bool = False) -> DataFrame:
@@ -146,46 +190,58 @@ def identify(rows: DataFrame, model: TextModel, id_col: str, text_col: str, decl
     if not langs:
         out = own.select("id", F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), F.lit("und").alias("text_lang"), "declared", "host", F.lit(True).alias("rejected"))
         return out
-    post = softmax(F.col("ll"))
-    spread = own.where(F.col("letters") >= LEAST_LETTERS).select("declared", "host", "domain", "suffix", *(post[i].alias(f"p{i}") for i in range(len(langs))))
-    sums = [F.sum(f"p{i}").alias(f"p{i}") for i in range(len(langs))]
-    hosts = cut(spread.groupBy("host", "domain", "suffix").agg(*sums), "hosts")
-    domains, suffixes, declared = (cut(df.where(F.col(c).isNotNull()).groupBy(c).agg(*sums), c) for df, c in ((hosts, "domain"), (hosts, "suffix"), (spread, "declared")))
-    whole = hosts.agg(*sums).collect()[0]
-    prior = np.array([(whole[i] or 0.0) + 1.0 for i in range(len(langs))])
-    prior /= prior.sum()
-    vec = lambda: F.array(*[F.coalesce(F.col(f"p{i}"), F.lit(0.0)) for i in range(len(langs))])
-    base = F.array(*map(F.lit, prior.tolist()))
+    spread = own.where(F.col("letters") >= LEAST_LETTERS)
+    hosts = cut(vector_sums(spread, ["host", "domain", "suffix"], "p"), "hosts")
+    domains, suffixes, declared = (cut(vector_sums(df.where(F.col(c).isNotNull()), [c], v), c) for df, c, v in ((hosts, "domain", "n"), (hosts, "suffix", "n"), (spread, "declared", "p")))
+
+    def total(counts):
+        out = np.zeros(len(langs))
+        for r in counts.select(F.posexplode("n").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
+            out[r.i] = r.x
+        return out
+
+    whole, n_said = total(hosts), total(declared)
+    kinds, kinds_suf = max(1, declared.count()), max(1, suffixes.count())
+    prior = (whole + 1) / (whole + 1).sum()
+    h, d, s, said = (df.select(*keys, F.col("n").alias(n)) for df, keys, n in ((hosts.where("host IS NOT NULL"), ["host", "domain", "suffix"], "ch"), (domains, ["domain"], "cd"), (suffixes, ["suffix"], "cs"), (declared, ["declared"], "cv")))
+
+    def matrix(column):
+        """Rows of a column of arrays, nulls as zeros; which are not null."""
+        there = np.asarray(column.is_valid())
+        out = np.zeros((len(column), len(langs)))
+        out[there] = np.asarray(column.drop_null().flatten()).reshape(-1, len(langs))
+        return out, there
 
     def smoothed(counts, above):
-        n = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(counts, above, lambda c, p: (c + F.lit(KAPPA) * p) / (n + F.lit(KAPPA)))
-
-    s = suffixes.select(F.col("suffix"), vec().alias("cs"))
-    d = domains.select(F.col("domain"), vec().alias("cd"))
-    h = hosts.where("host IS NOT NULL").select("host", "domain", "suffix", vec().alias("ch"))
-    zero = F.array(*[F.lit(0.0)] * len(langs))
-    priors = (h.join(d, "domain", "left").join(s, "suffix", "left")
-              .select("host", smoothed(F.col("ch"), smoothed(F.coalesce("cd", zero), smoothed(F.coalesce("cs", zero), base))).alias("ph")))
-    priors = cut(priors, "priors")
-    said = declared.select(F.col("declared"), vec().alias("cv"))
-    all_said = declared.agg(*sums).collect()[0]
-    n_said, kinds = np.array([all_said[i] or 0.0 for i in range(len(langs))]), max(1, declared.count())
-    n_suf, kinds_suf = np.array([whole[i] or 0.0 for i in range(len(langs))]), max(1, suffixes.count())
-
-    def likelihood(counts, totals, kinds):
+        return (counts + KAPPA * above) / (counts.sum(1, keepdims=True) + KAPPA)
+
+    def host_priors(batches):
+        for b in (part for whole in batches for part in slices(whole, len(langs))):
+            ch, cd, cs = (matrix(b.column(i))[0] for i in (1, 2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), vectors(smoothed(ch, smoothed(cd, smoothed(cs, prior[None]))))], ["host", "ph"])
+
+    priors = cut(h.join(d, "domain", "left").join(s, "suffix", "left").select("host", "ch", "cd", "cs").mapInArrow(host_priors, "host string, ph array<double>"), "priors")
+
+    def likelihood(column, totals, kinds):
         """log P(value | lang), add-half smoothed; neutral where the value is missing."""
-        return F.when(counts.isNull(), zero).otherwise(F.zip_with(counts, F.array(*map(F.lit, totals.tolist())), lambda c, n: F.log((c + 0.5) / (n + F.lit(0.5 * (kinds + 1))))))
-
-    joined = own.join(priors, "host", "left").join(said, "declared", "left").join(s, "suffix", "left")
-    logp = F.zip_with(F.zip_with(F.col("ll"), F.transform(F.coalesce("ph", base), lambda x: F.log(x)), lambda a, b: a + b),
-                      F.zip_with(likelihood(F.col("cv"), n_said, kinds), likelihood(F.col("cs"), n_suf, kinds_suf), lambda a, b: a + b), lambda a, b: a + b)
-    names = F.array(*map(F.lit, langs))
-    at = lambda v: names[(F.array_position(v, F.array_max(v)) - 1).cast("int")]
-    out = joined.withColumn("post", softmax(logp)).withColumn("posterior", F.array_max("post"))
-    rejected = (F.col("letters") < LEAST_LETTERS) | (F.col("posterior") < LEAST_POSTERIOR)
+        counts, there = matrix(column)
+        return np.where(there[:, None], np.log((counts + 0.5) / (totals + 0.5 * (kinds + 1))), 0.0)
+
+    def fuse(batches):
+        names = np.array(langs, object)
+        for b in (part for whole in batches for part in slices(whole, len(langs))):
+            ll, (ph, there) = matrix(b.column(4))[0], matrix(b.column(5))
+            post = softmax(ll + np.log(np.where(there[:, None], ph, prior)) + likelihood(b.column(6), n_said, kinds) + likelihood(b.column(7), whole, kinds_suf))
+            best = post.max(1)
+            rejected = (np.asarray(b.column(3)) < LEAST_LETTERS) | (best < LEAST_POSTERIOR)
+            lang = np.where(rejected, "und", names[post.argmax(1)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(best), pa.array(names[ll.argmax(1)], pa.string()), b.column(1), b.column(2), pa.array(rejected)], ["id", "lang", "posterior", "text_lang", "declared", "host", "rejected"])
+
+    joined = own.join(priors, "host", "left").join(said, "declared", "left").join(s, "suffix", "left").select("id", "declared", "host", "letters", "ll", "ph", "cv", "cs")
+    kind = own.schema["id"].dataType.simpleString()
+    out = joined.mapInArrow(fuse, f"id {kind}, lang string, posterior double, text_lang string, declared string, host string, rejected boolean")
     discard(hosts, domains)
-    return out.select("id", F.when(rejected, "und").otherwise(at(F.col("post"))).alias("lang"), F.round("posterior", 6).alias("posterior"), at(F.col("ll")).alias("text_lang"), "declared", "host", rejected.alias("rejected"))
+    return out.withColumn("posterior", F.round("posterior", 6))
 
 
 def language_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

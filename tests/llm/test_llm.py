@@ -408,6 +408,26 @@ def test_language(spark):
     assert len(rows) == 3 and {r.host for r in rows} == {"h.example.es", None}
 
 
+def test_every_label_is_modelled(spark):
+    rng = np.random.default_rng(14)
+    words = {f"l{k:02d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for k in range(90)}
+    rows = [(k, " ".join(rng.choice(words[lang], 30)), lang, "s") for k, lang in enumerate([lang for n, lang in enumerate(words) for _ in range(4 if n < 80 else 2)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language.fit_text_model(docs)
+    assert model.langs == sorted(words)
+    got = {r.id: r for r in language.identify(docs, model, "doc_id", "text", "lang", "source").collect()}
+    assert all(got[i].lang == lang and not got[i].rejected for i, _, lang, _ in rows)
+    assert language.language_filter(docs).count() == len(rows)
+
+
+@pytest.mark.parametrize("ids", [1, 7, 3000])
+def test_labelled_sample_is_the_first_by_hash(spark, ids):
+    docs = spark.createDataFrame([(k % ids, f"t{k % ids}", "ab"[k % 3 == 0]) for k in range(3000)] + [(k, "few", "C") for k in range(5)], "doc_id long, text string, lang string")
+    got = language.labelled_sample(docs, "text", "lang", "doc_id", 40).toPandas()
+    want = docs.select("lang", "text", F.xxhash64("doc_id").alias("h")).toPandas().sort_values("h", kind="stable").groupby("lang").head(40)
+    assert sorted(zip(got.lang, got.text)) == sorted(zip(want.lang.str.lower(), want.text))
+
+
 def test_fusion_against_plain_loops(spark):
     pages = common.table(spark, SF, "pages")
     model = language.fit_text_model(common.table(spark, SF, "documents"))
