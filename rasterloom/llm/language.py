@@ -29,7 +29,7 @@ KAPPA = 8.0
 LEAST_POSTERIOR, LEAST_LETTERS = 0.6, 3
 DECLARED = re.compile(r"<[hH][tT][mM][lL]\b[^<>]*?\b[lL][aA][nN][gG]\s*=\s*[\"']?([A-Za-z]{2,3})")
 #: Comments, elements and tags that are not closed hide the rest of the page; a < before no letter is text.
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<[a-z!/?][^>]*(?:>|\Z)", re.I | re.S)
+HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)(?=[\s/>]).*?(?:</\1\s*>|\Z)|<[a-z!/?][^>]*(?:>|\Z)", re.I | re.S)
 
 
 def gram_codes(text: str) -> np.ndarray:

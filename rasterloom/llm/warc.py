@@ -23,13 +23,13 @@ from rasterloom.llm.common import small_batches, table
 
 VERSION = "WARC/1.1"
 EPOCH = "1970-01-01T00:00:00Z"
-LINKING = re.compile(r"<(a|area|img|link|script|iframe)\b[^>]*", re.I)
+LINKING = re.compile(r"<(a|area|img|link|script|iframe)(?=[\s/>])[^>]*", re.I)
 TARGET = re.compile(r"""(?<=[\s/])(href|src)\s*=\s*""", re.I)
 VALUE = re.compile(r"""(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
-#: What the plain text leaves out with its contents (what is not closed: up to the page's end), all tags (group 1: those that end a line).
-DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title|svg)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
-TAGS = re.compile(r"<(?:(/?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b)|[a-z!/?])[^>]*>", re.I)
-TITLE = re.compile(r"<title\b[^<>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
+#: What the plain text leaves out with its contents (what is not closed: up to the page's end; <svg .../> has none), all tags (group 1: those that end a line).
+DROPPED = re.compile(r"""<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^<>"']|"[^"<]*"|'[^'<]*')*+(?<=/)>|<(script|style|template|noscript|title|svg)(?=[\s/>]).*?(?:</\1\s*>|\Z)""", re.I | re.S)
+TAGS = re.compile(r"<(?:(/?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)(?=[\s/>]))|[a-z!/?])[^>]*>", re.I)
+TITLE = re.compile(r"<title(?=[\s/>])[^<>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
 #: Field order of a record; None values are left out.
 FIELDS = ["WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Refers-To", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date", "WARC-Concurrent-To", "WARC-Payload-Digest", "WARC-Block-Digest", "WARC-Source-Payload-Digest", "Content-Type", "Content-Length"]
 

@@ -373,6 +373,18 @@ def test_links_and_wide_cells():
     assert text.splitlines()[0] == wide + "  x" and text.splitlines()[1:] == ["a  b"] * 1000
 
 
+def test_text_behind_empty_svg_and_hyphenated_elements():
+    for page in ("<svg class='i'/>seen", "<svg/>seen", "<SVG title=\"a>b\" />seen", "<svg><title>no</title></svg>seen", "<svg a='/'>no</svg>seen", "<svg/><svg>no</svg>seen<svg />"):
+        assert warc.plain_text(page) == html_layout.render(page).replace("no", "") == "seen"
+    for name in ("title-bar", "template-x", "style-guide", "script-note", "noscript-x", "svg-icon"):
+        page = f"<{name} lang=x>own</{name}><p>seen"
+        assert warc.plain_text(page).split() == ["own", "seen"] and language.HIDDEN.sub(" ", page).split() == ["own", "seen"]
+    assert warc.title_of("<title-bar>no</title-bar><title>yes</title>") == "yes"
+    assert warc.links_of("<a-b href=no><link-card href=no><a href=yes>") == [("yes", "a", "href")]
+    for part in ("<svg ", "<svg \"", "<svg \"</svg>\"", "<svg '/>"):
+        warc.plain_text(part * 100_000)
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "http://a.example/x", "<title>T &amp; u</title><p>Hi<script>no</script> <a href='/y'>there</a>", 5), (2, None, None, 6), (2, None, None, 6), (3, "http://b.example", "", 7)], "page_id long, url string, html string, type int")
     records = warc.responses(pages)
