@@ -20,7 +20,7 @@ TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^
 ATTR = re.compile(r"""([^\s=/"'>][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist param source track meta link base title area map svg math".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist param source track meta link base title area".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table pre blockquote figure hr xmp listing".split())
 BLOCK = MARGIN | frozenset("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main nav optgroup option search section summary caption thead tbody tfoot tr td th".split())
 #: A start tag of the first kind ends an open element of the second kinds ...
@@ -32,6 +32,10 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "optgroup": {"select"}}
 TABLE_SCOPE = {"table"}
 P_SCOPE = frozenset("button td th caption table html".split())
+#: Elements of SVG and MathML that draw no text where they stand; those whose contents are HTML again; HTML's start tags that end SVG and MathML.
+FOREIGN_UNSEEN = {"svg": frozenset("title desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter script style".split()), "math": frozenset("annotation annotation-xml mphantom".split())}
+FOREIGN_HTML = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 HEAD = frozenset("title style script meta link base template noscript".split())
 
 
@@ -39,11 +43,22 @@ HEAD = frozenset("title style script meta link base template noscript".split())
 WIDEST = 120
 
 
+#: SVG's texts stand apart from one another, and so do the rows of a MathML table.
+LINED = {("svg", "text"), ("math", "mtr"), ("math", "mlabeledtr")}
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "foreign")
+
+    def __init__(self, tag: str, attrs: str = "", foreign: str = ""):
+        """foreign: svg or math for an element inside of one."""
+        self.tag, self.attrs, self.kids, self.foreign = tag, attrs, [], foreign
 
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+    def within(self) -> str:
+        """What the element's contents belong to: svg, math or (empty) HTML."""
+        if self.foreign:
+            return "" if self.tag in FOREIGN_HTML[self.foreign] else self.foreign
+        return self.tag if self.tag in FOREIGN_UNSEEN else ""
 
 
 def build(source: str) -> Node:
@@ -124,6 +139,9 @@ def build(source: str) -> Node:
             continue
         if body is None and name not in HEAD:
             need_body()
+        while name in ENDS_FOREIGN and stack[-1].within():
+            pop_to(len(stack) - 1)
+        foreign = stack[-1].within()
         if name in CLOSES_P and open_count.get("p"):
             i = len(stack) - 1
             while i and stack[i].tag != "p" and stack[i].tag not in P_SCOPE:
@@ -138,8 +156,8 @@ def build(source: str) -> Node:
                 i -= 1
             if found:
                 pop_to(found)
-        node = Node(name, attrs)
-        if name in VOID or attrs.endswith("/") and name in ("svg", "path", "use"):
+        node = Node(name, attrs, foreign)
+        if name in VOID or attrs.endswith("/") and (foreign or name in FOREIGN_UNSEEN):
             stack[-1].kids.append(node)
         elif name in RAW:
             end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>", re.I).search(source, pos, last + 1)
@@ -167,6 +185,17 @@ def shown(attrs: dict[str, str], tag: str, inherited: bool) -> tuple[bool, bool]
     return True, m[1] == "visible" if m else inherited
 
 
+def drawn(attrs: dict[str, str], inherited: bool) -> tuple[bool, bool]:
+    """As shown(), by the attributes that SVG has for the same; a style goes first."""
+    style = re.sub(r"\s", "", attrs.get("style", "")).lower()
+    if attrs.get("display", "").strip().lower() == "none" and not re.search(r"(?:^|;)display:", style):
+        return False, inherited
+    said = attrs.get("visibility", "").strip().lower()
+    if said in ("visible", "hidden", "collapse") and not re.search(r"(?:^|;)visibility:", style):
+        return True, said == "visible"
+    return True, inherited
+
+
 class Flow:
     """Lines of one formatting context: collapses white space, keeps margins, markers and indents."""
 
@@ -281,6 +310,9 @@ def render(source: str | None) -> str:
                     flow.line(True)
                 flow.block(1)
                 continue
+            if (node.foreign, tag) in LINED:
+                flow.block(0)
+                continue
             if tag in ("ul", "ol", "menu"):
                 lists.pop()
             if tag in ("ul", "ol", "menu", "blockquote", "dd") and flow.indents:
@@ -296,15 +328,21 @@ def render(source: str | None) -> str:
             elif tag == "q":
                 flow.text("”", False)
             continue
-        if tag in UNSEEN:
+        if tag in UNSEEN or node.foreign and tag in FOREIGN_UNSEEN[node.foreign]:
             continue
         boxed, seen = True, visible
         if node.attrs and ("hidden" in node.attrs.lower() or "style" in node.attrs.lower() or tag in ("input", "dialog")):
             boxed, seen = shown(attributes(node.attrs), tag, visible)
         elif tag == "dialog":
             boxed = False
+        if boxed and node.attrs and (node.foreign or tag == "svg"):
+            boxed, seen = drawn(attributes(node.attrs), seen)
         if not boxed:
             continue
+        if (node.foreign, tag) in LINED:
+            flow.block(0)
+        elif (node.foreign, tag) == ("math", "mtd"):
+            flow.text(" ", False)
         if tag == "br":
             flow.line(True) if seen else None
             continue

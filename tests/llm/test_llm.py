@@ -478,6 +478,21 @@ HTML = [
 ]
 
 
+FOREIGN = [
+    ("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>tex</annotation></semantics></math> holds", "so x=1 holds"),
+    ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr><mtr><mtd><mn>3</mn></mtd></mtr></mtable></math>", "1 2\n3"),
+    ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata><symbol><text>no</text></symbol><g><text>A <tspan>b</tspan></text><text>C</text></g></svg>", "A b\nC"),
+    ("<svg><defs/><rect/><text>A</text></svg>b", "A\nb"), ("<svg><text display='none'>no</text><g visibility='hidden'><text>no</text><text visibility='visible'>yes</text></g></svg>", "yes"),
+    ("<svg><foreignObject><p>in<div/>side</foreignObject></svg>", "in\n\nside"), ("<svg><defs><p>out", "out"), ("<map name=m><p>way <area href=x>in</p></map>", "way in"),
+    ("<desc>seen</desc> <symbol>too</symbol>", "seen too"), ("<svg style='display:none'><text>no</text></svg>x", "x"), ("<svg class=i />a<svg/>b", "ab"), ("<math><mphantom><mi>n</mi></mphantom><mtext>a <b>b</b></mtext></math>", "a b"),
+]
+
+
+@pytest.mark.parametrize("source,text", FOREIGN)
+def test_html_math_svg_and_map(source, text):
+    assert html_layout.render(source) == text
+
+
 @pytest.mark.parametrize("source,text", HTML)
 def test_html(source, text):
     assert html_layout.render(source).startswith(text) if source and "closed" in source else html_layout.render(source) == text
