@@ -129,5 +129,6 @@ QUERIES = {
     "edge_best_threshold": lambda s, d: edge_eval.best_threshold(sweep(s, d)),
     "clahe": lambda s, d: clahe(two_images(s, d), *CLAHE),
     "canny": lambda s, d: canny(fx.f8(s, d), *CANNY),
+    "canny_tables": lambda s, d: canny(grays(s, d), *CANNY),
     "raw_roundtrip": raw_roundtrip,
 }

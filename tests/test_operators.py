@@ -12,6 +12,7 @@ from rasterloom.operators import edge_eval, filters, histogram, metrics
 from rasterloom.operators.canny import canny
 from rasterloom.operators.clahe import clahe
 from rasterloom.operators.stencil import apply_stencil, pull_taps
+from rasterloom.plans import catalog, settings
 from rasterloom.sources import rawraster, tables
 
 SHAPES = [(1, 1), (1, 7), (6, 1), (3, 2), (9, 11)]
@@ -143,6 +144,39 @@ def test_canny_reaches_weak_pixels_across_tiles(spark):
         canny(frame(spark, im), 5, 5)
 
 
+def test_canny_of_whole_tables(spark):
+    """The registered query against one flood over each whole image; some of its paths must run from tile to tile."""
+    px = catalog.grays(spark, "/root/testdata/sf0.001")
+    got = catalog.QUERIES["canny_tables"](spark, "/root/testdata/sf0.001").toPandas()
+    assert len(got) == px.count() and set(got.image_id) == {1, 2, 3}
+    low, high = settings.CANNY
+    crossed = 0
+    for k, g in filters.sobel_gradients(px).toPandas().groupby("image_id"):
+        gx, gy = (g.pivot(index="row", columns="col", values=c).to_numpy().astype(float) for c in ("gx", "gy"))
+        mag = np.pad(np.sqrt(gx * gx + gy * gy), 1)
+        state = np.zeros(gx.shape, int)
+        for i, j in np.ndindex(gx.shape):
+            x, y, own = gx[i, j], gy[i, j], mag[i + 1, j + 1]
+            di, dj = (0, -1) if abs(y) <= (2**0.5 - 1) * abs(x) else (-1, 0) if abs(y) >= (2**0.5 + 1) * abs(x) else (-1, 1 if x * y > 0 else -1)
+            if own > mag[i + 1 + di, j + 1 + dj] and own >= mag[i + 1 - di, j + 1 - dj]:
+                state[i, j] = 2 if own > high else int(own > low)
+
+        def reached(step):
+            seen, work = state == 2, [tuple(at) for at in np.argwhere(state == 2)]
+            while work:
+                i, j = work.pop()
+                for a, b in itertools.product(range(max(0, i - 1), min(len(state), i + 2)), range(max(0, j - 1), min(state.shape[1], j + 2))):
+                    if state[a, b] == 1 and not seen[a, b] and a // step == i // step:
+                        seen[a, b] = True
+                        work.append((a, b))
+            return seen
+
+        want = reached(len(state))
+        crossed += (want != reached(64)).sum()
+        assert (got[got.image_id == k].pivot(index="row", columns="col", values="v").to_numpy() == np.where(want, 0, 255)).all()
+    assert crossed > 0
+
+
 def test_matching_is_maximum():
     rng = np.random.default_rng(5)
     for _ in range(60):
