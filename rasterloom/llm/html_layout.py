@@ -41,6 +41,8 @@ HEAD = frozenset("title style script meta link base template noscript".split())
 
 #: Lines of a cell that are longer do not widen their column, so padding stays in proportion to the page.
 WIDEST = 120
+#: Columns that cells of the rows above may take in a table, for each of its cells; beyond that rowspan is not followed, for the same end.
+CARRIED = 50
 
 
 #: SVG's texts stand apart from one another, and so do the rows of a MathML table.
@@ -247,18 +249,44 @@ class Grid:
     """Cells of one table, rendered in aligned columns; lines over WIDEST characters push the rest of their row."""
 
     def __init__(self):
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+        self.breaks: set[int] = set()  # rows that begin a row group: no cell reaches into them from above
+
+    def placed(self, carry: bool = True) -> list[list[tuple[list[str], int]]]:
+        """(cell, columns) of each row; with carry, empty cells stand where cells of the rows above reach down to."""
+        out, until, left = [], {}, CARRIED * (10 + sum(map(len, self.rows)))
+        for k, row in enumerate(self.rows):
+            if k in self.breaks:
+                until = {}
+            col, cells = 0, []
+            for cell, span, down in row:
+                first = col
+                while carry and until.get(col, 0) > k:
+                    col += 1
+                if col > first:
+                    cells.append(([], col - first))
+                    left -= col - first
+                if down != 1:
+                    until |= dict.fromkeys(range(col, col + span), k + down if down else len(self.rows))
+                    left -= span - 1
+                if left < 0 and carry:
+                    return self.placed(False)
+                cells.append((cell, span))
+                col += span
+            out.append(cells)
+        return out
 
     def lines(self) -> list[str]:
         widths: list[int] = []
-        for row in self.rows:
+        rows = self.placed()
+        for row in rows:
             col = 0
             for cell, span in row:
                 widths += [0] * (col + span - len(widths))
                 if span == 1:
                     widths[col] = max(widths[col], max((len(s) for s in cell if len(s) <= WIDEST), default=0))
                 col += span
-        for row in self.rows:
+        for row in rows:
             col = 0
             for cell, span in row:
                 lack = max((len(s) for s in cell if len(s) <= WIDEST), default=0) - sum(widths[col : col + span]) - 2 * (span - 1)
@@ -266,7 +294,7 @@ class Grid:
                     widths[col + span - 1] += lack
                 col += span
         out = []
-        for row in self.rows:
+        for row in rows:
             for k in range(max((len(cell) for cell, _ in row), default=0)):
                 col, parts = 0, []
                 for cell, span in row:
@@ -294,13 +322,18 @@ def render(source: str | None) -> str:
             if tag in ("td", "th") and grids and flows:
                 cell = flow.finish()
                 flow = flows.pop()
+                a = attributes(node.attrs) if node.attrs else {}
                 try:
-                    span = min(1000, max(1, int(attributes(node.attrs).get("colspan", "1"))))
+                    span = min(1000, max(1, int(a.get("colspan", "1"))))
                 except ValueError:
                     span = 1
+                try:
+                    down = max(0, int(a.get("rowspan", "1")))
+                except ValueError:
+                    down = 1
                 if not grids[-1].rows:
                     grids[-1].rows.append([])
-                grids[-1].rows[-1].append((cell, span))
+                grids[-1].rows[-1].append((cell, span, down))
                 continue
             if tag == "table":
                 lines = grids.pop().lines()
@@ -313,6 +346,8 @@ def render(source: str | None) -> str:
             if (node.foreign, tag) in LINED:
                 flow.block(0)
                 continue
+            if tag in ("thead", "tbody", "tfoot") and grids:
+                grids[-1].breaks.add(len(grids[-1].rows))
             if tag in ("ul", "ol", "menu"):
                 lists.pop()
             if tag in ("ul", "ol", "menu", "blockquote", "dd") and flow.indents:
@@ -362,6 +397,9 @@ def render(source: str | None) -> str:
             grids.append(Grid())
         elif tag == "tr" and grids:
             grids[-1].rows.append([])
+        elif tag in ("thead", "tbody", "tfoot") and grids:
+            grids[-1].breaks.add(len(grids[-1].rows))
+            flow.block(0)
         elif tag in BLOCK:
             flow.block(1 if tag in MARGIN and not (tag in ("ul", "ol", "menu") and lists) else 0)
             if tag in ("ul", "ol", "menu"):

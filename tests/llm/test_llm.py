@@ -478,6 +478,15 @@ HTML = [
 ]
 
 
+def test_rowspan_keeps_columns():
+    render = html_layout.render
+    assert render("<table><tr><th>k<th>a<th>b<tr><td rowspan=2>one<td>1<td>2<tr><td>3<td>4<tr><td>two<td>5<td>6</table>") == "k    a  b\none  1  2\n     3  4\ntwo  5  6"
+    assert render("<table><tr><td>a<td rowspan=2 colspan=2>bb<td>c<tr><td>d<td>e</table>") == "a  bb  c\nd      e"
+    assert render("<table><tbody><tr><td rowspan=0>aa<td>b<tr><td>c<tbody><tr><td>d<td>e</table>") == "aa  b\n    c\nd   e"
+    many = render("<table><tr>" + "<td rowspan=60000>a" * 5000 + "<tr><td>b" * 5000 + "</table>")
+    assert len(many) < 100_000 and many.count("a") == many.count("b") == 5000
+
+
 FOREIGN = [
     ("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>tex</annotation></semantics></math> holds", "so x=1 holds"),
     ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr><mtr><mtd><mn>3</mn></mtd></mtr></mtable></math>", "1 2\n3"),
