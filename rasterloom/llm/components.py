@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     is contracted to those representatives, so the expected number of nodes falls by a constant factor whatever
     the diameter. Representatives come from partial aggregates, so a hub is pre-aggregated before the shuffle;
     both join sides are written tables, which lets the planner split a skewed hub or broadcast a small side.
-    Self loops, repeated edges and nulls are ignored; no edges give an empty result.
+    Nodes are longs: their 64-bit hash is one to one, so a minimum over hashes picks one node and a long is all that
+    is aggregated. Self loops, repeated edges and nulls are ignored; no edges give an empty result.
     """
     def tidy(df):
         return df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -24,11 +25,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     reps = []
     while not current.isEmpty():
         k = len(reps)
-        order = lambda c, k=k: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("n"))
-        both = current.select("a", order("b").alias("o")).unionAll(
-            current.select(F.col("b").alias("a"), order("a").alias("o")))
-        rep = cut(both.groupBy("a").agg(F.min("o").alias("o"))
-                  .select(F.col("a").alias("node"), F.least(order("a"), "o")["n"].alias("rep")), "reps")
+        order = lambda c, k=k: F.xxhash64(F.col(c), F.lit(k))
+        both = current.select("a", "b").unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy("a").agg(F.min_by("b", order("b")).alias("b"))
+        rep = cut(first.select(F.col("a").alias("node"), F.when(order("a") < order("b"), F.col("a")).otherwise(F.col("b")).alias("rep")), "reps")
         reps.append(rep)
         left = rep.select(F.col("node").alias("a"), F.col("rep").alias("ra"))
         right = rep.select(F.col("node").alias("b"), F.col("rep").alias("rb"))
