@@ -543,3 +543,32 @@ def test_pipeline_stages(spark):
     assert (packed.groupby("sequence_id").length.sum() <= 2048).all()
 
 
+
+
+def test_embedding_recall_near_the_threshold(spark):
+    """64 dimensions, planted pairs of cosine 0.95 to 0.96 among unrelated vectors, and one tight group; against all pairs."""
+    rng = np.random.default_rng(15)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    a = unit(rng.standard_normal((1500, 64)))
+    away = unit((w := rng.standard_normal((1500, 64))) - (w * a).sum(1)[:, None] * a)
+    cos = rng.uniform(0.9501, 0.96, 1500)[:, None]
+    x = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * away, unit(a[:1] + 0.01 * rng.standard_normal((700, 64)))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embedding_dedup.near_duplicates(df, block=256, mates=16).toPandas().sort_values("vec_id")
+    link = x @ x.T >= 0.95
+    np.fill_diagonal(link, False)
+    assert (got.n_links.to_numpy() <= link.sum(1)).all() and got.n_links.sum() >= 0.999 * link.sum()
+    assert got.n_links.to_numpy()[1500:3000].astype(bool).mean() >= 0.98
+    root = components(range(len(x)), [(int(i), int(j)) for i, j in zip(*np.nonzero(link))])
+    assert (got.component_id.to_numpy() == [root[i] for i in range(len(x))]).mean() > 0.97
+    assert (got.kept == (got.vec_id == got.component_id)).all()
+
+
+def test_embedding_plan_holds_recall():
+    for n in (1, 600, 10**5, 10**9):
+        tables, k = embedding_dedup.plan_tables(n)
+        assert 1 - (1 - embedding_dedup.same_cell(0.1**0.5, embedding_dedup.WIDTH) ** k) ** tables >= embedding_dedup.RECALL
+    x = np.random.default_rng(0).standard_normal((300, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    whole = embedding_dedup.keys_of(x, 9, 7, 2.0, 1)
+    assert all((embedding_dedup.keys_of(x[i : i + 1], 9, 7, 2.0, 1) == whole[i]).all() for i in range(300))
