@@ -572,3 +572,28 @@ def test_embedding_plan_holds_recall():
     x /= np.linalg.norm(x, axis=1)[:, None]
     whole = embedding_dedup.keys_of(x, 9, 7, 2.0, 1)
     assert all((embedding_dedup.keys_of(x[i : i + 1], 9, 7, 2.0, 1) == whole[i]).all() for i in range(300))
+
+
+def test_topk_prunes_cells_and_keeps_queries_of_one_id_apart(spark):
+    rng = np.random.default_rng(16)
+    centres = rng.normal(0, 1, (40, 16))
+    x = centres[rng.integers(0, 40, 3000)] + 0.01 * rng.standard_normal((3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(int(i), x[j].tolist()) for i, j in [(0, 0), (0, 7), (0, 7), (100, 100), (9999, 5)]], df.schema)
+    got = topk.top_k(df, asked, shard=60, block=2, pivots=50).toPandas()
+    v = np.floor(1024 * x).astype(int)
+    assert len(got) == 4 * 10 and set(got["rank"]) == set(range(1, 11))
+    for i, j in [(0, 0), (0, 7), (100, 100), (9999, 5)]:
+        best = sorted((-int(v[j] @ v[c]), c) for c in range(3000) if c != i)[:10]
+        rows = set(zip(got[got.query_id == i]["rank"], got[got.query_id == i].vec_id, got[got.query_id == i].score))
+        assert {(r + 1, c, -s) for r, (s, c) in enumerate(best)} <= rows
+    tree = topk.MTree(np.arange(3000), v, page=64).finish()
+    for q in range(0, 3000, 50):
+        tree.search(v[q], 10, q)
+    assert tree.scored < 0.2 * 60 * 3000
+
+
+def test_topk_of_large_and_empty_vectors(spark):
+    df = spark.createDataFrame([(1, [1e300, 1.0]), (2, [40.0, 50.0]), (3, [-1.0, 2.0]), (4, []), (5, []), (6, [3e4, -3e4])], "vec_id long, embedding array<double>")
+    got = topk.top_k(df.where("vec_id <> 1"), df.where("vec_id in (2, 4)")).collect()
+    assert sorted((r.query_id, r.vec_id, r.score) for r in got) == [(2, 3, 1024**2 * 60), (2, 6, 1024**2 * -300000), (4, 5, 0)]
