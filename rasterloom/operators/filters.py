@@ -64,9 +64,9 @@ def convolve(px: DataFrame, weights: list[tuple[int, int, float]], planes=("v",)
     def kernel(t: Tile):
         out = {}
         for c in planes:
-            total = np.zeros((len(t.rows), len(t.cols)))
+            total = 0.0
             for i, j, w in weights:
-                total += w * t.tap(c, i, j)
+                total = total + w * t.tap(c, i, j)
             out[c] = half_away(total)
         return out
 
@@ -123,25 +123,24 @@ def nlm(px: DataFrame, h: float, patch: int, search: int, planes=("v",), a: floa
     norm = sum(g) if g else 1.0
 
     def kernel(t: Tile):
-        rows, cols = len(t.rows), len(t.cols)
         base = [[t.tap(c, i, j).astype(np.float64) for c in planes] for i, j in spots]
-        top, bottom = [np.zeros((rows, cols)) for _ in planes], np.zeros((rows, cols))
-        limit = next(iter(t.values.values())).shape
+        top, bottom = [0.0 for _ in planes], 0.0
+        limit = t.values[planes[0]].shape[-2:]
         for si in range(-reach, reach + 1):
             r = np.clip(t.rows + si, 0, limit[0] - 1)
             for sj in range(-reach, reach + 1):
                 c = np.clip(t.cols + sj, 0, limit[1] - 1)
-                dist = np.zeros((rows, cols))
+                dist = 0.0
                 for s, (i, j) in enumerate(spots):
                     for p, name in enumerate(planes):
                         d = base[s][p] - t.tap(name, i, j, r, c)
-                        dist += d * d * g[s] if g else d * d
+                        dist = dist + (d * d * g[s] if g else d * d)
                 w = np.exp(-(dist / norm) / (h * h))
                 if g:
-                    w[(r == t.rows)[:, None] & (c == t.cols)[None, :]] = 0.0
+                    w = np.where((r == t.rows)[:, None] & (c == t.cols)[None, :], 0.0, w)
                 for p, name in enumerate(planes):
-                    top[p] += w * t.values[name][r[:, None], c[None, :]]
-                bottom += w
+                    top[p] = top[p] + w * t.values[name][..., r[:, None], c[None, :]]
+                bottom = bottom + w
         safe = np.where(bottom > 0, bottom, 1)
         return {name: np.where(bottom > 0, half_away(top[p] / safe), t.tap(name, 0, 0)) for p, name in enumerate(planes)}
 

@@ -14,58 +14,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.functions.arrow import grouped
+
 TILE_ROWS, TILE_COLS = 64, 1024
 
 
 class Tile:
-    """values: dict of 2-d arrays with halo; rows, cols: indices of the core within them; row0, col0: place of index 0."""
+    """A stack of tiles of one shape and place. values: dict of (tiles, rows, columns) arrays with halo; rows, cols: indices of the core within them; row0, col0: place of index 0."""
 
     def __init__(self, values: dict[str, np.ndarray], rows: np.ndarray, cols: np.ndarray, row0: int, col0: int):
         self.values, self.rows, self.cols, self.row0, self.col0 = values, rows, cols, row0, col0
 
     def tap(self, name: str, di: int, dj: int, rows: np.ndarray | None = None, cols: np.ndarray | None = None) -> np.ndarray:
-        """The plane shifted by (di, dj) with clamped indices, over the core or the given rows and columns."""
+        """The planes shifted by (di, dj) with clamped indices, over the core or the given rows and columns."""
         plane = self.values[name]
-        r = np.clip((self.rows if rows is None else rows) + di, 0, plane.shape[0] - 1)
-        c = np.clip((self.cols if cols is None else cols) + dj, 0, plane.shape[1] - 1)
-        return plane[r[:, None], c[None, :]]
+        r = np.clip((self.rows if rows is None else rows) + di, 0, plane.shape[-2] - 1)
+        c = np.clip((self.cols if cols is None else cols) + dj, 0, plane.shape[-1] - 1)
+        return plane[..., r[:, None], c[None, :]]
 
 
 def apply_stencil(px: DataFrame, kernel: Callable[[Tile], dict[str, np.ndarray]], radius: int, inputs=("v",), outputs: dict[str, str] | None = None, tile_rows: int = TILE_ROWS, tile_cols: int = TILE_COLS) -> DataFrame:
-    """(image_id, row, col, outputs): kernel on every tile. outputs: name to Spark type, 'v int' unless given."""
+    """(image_id, row, col, outputs): kernel on every tile. outputs: name to Spark type, 'v int' unless given.
+
+    Tiles come sorted; those of one shape and place that arrive together (many small images, say) go through the
+    kernel as one stack.
+    """
     outputs = outputs or {"v": "int"}
     types = {"int": pa.int32(), "float": pa.float32(), "double": pa.float64(), "long": pa.int64()}
     names = list(inputs)
+    sizes = ((tile_rows, 1), (tile_cols, 2))
 
     def tiles(c: str, size: int):
         low = F.greatest(F.lit(0), F.floor((F.col(c) - radius) / size).cast("int"))
         return F.explode(F.sequence(low, F.floor((F.col(c) + radius) / size).cast("int")))
 
     dealt = (px.select("image_id", "row", "col", *names, tiles("row", tile_rows).alias("tr"))
-             .select("*", tiles("col", tile_cols).alias("tc")))
+             .select("*", tiles("col", tile_cols).alias("tc")).select("image_id", "tr", "tc", "row", "col", *names))
     schema = pa.schema([("image_id", pa.int64()), ("row", pa.int32()), ("col", pa.int32()), *((k, types[t]) for k, t in outputs.items())])
 
-    def run(key, t):
-        image, tr, tc = (k.as_py() for k in key)
-        row, col = (np.asarray(t.column(c)).astype(np.int64) for c in ("row", "col"))
-        r0, c0 = int(row.min()), int(col.min())
-        h, w = int(row.max()) - r0 + 1, int(col.max()) - c0 + 1
-        values = {}
-        for c in names:
-            column = np.asarray(t.column(c))
-            plane = np.zeros((h, w), column.dtype)
-            plane[row - r0, col - c0] = column
-            values[c] = plane
-        rows, cols = (np.arange(max(0, k * size - at), min(n, (k + 1) * size - at)) for k, size, at, n in ((tr, tile_rows, r0, h), (tc, tile_cols, c0, w)))
-        if not len(rows) or not len(cols):
-            return schema.empty_table()
-        out = kernel(Tile(values, rows, cols, r0, c0))
-        n = len(rows) * len(cols)
-        grid = [np.full(n, image), np.repeat(rows + r0, len(cols)), np.tile(cols + c0, len(rows))]
-        return pa.table([pa.array(a, f.type, from_pandas=False) for a, f in zip([grid[0], *grid[1:], *(np.asarray(out[k]).ravel() for k in outputs)], schema)], schema=schema)
+    def run(batches):
+        for batch, keys, starts in grouped(batches, 3):
+            at = (np.asarray(batch.column(3)).astype(np.int64), np.asarray(batch.column(4)).astype(np.int64))
+            low = [np.minimum.reduceat(x, starts[:-1]) for x in at]
+            size = [np.maximum.reduceat(x, starts[:-1]) - lo + 1 for x, lo in zip(at, low)]
+            tile_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            first = keys[starts[:-1]]
+            core = [(np.maximum(0, first[:, k] * n - lo), np.minimum(sz, (first[:, k] + 1) * n - lo)) for (n, k), lo, sz in zip(sizes, low, size)]
+            places = np.stack([*low, *size, *core[0], *core[1]], 1)
+            kinds, which = np.unique(places, axis=0, return_inverse=True)
+            for kind, (r0, c0, h, w, ra, rz, ca, cz) in enumerate(kinds.tolist()):
+                if rz <= ra or cz <= ca:
+                    continue
+                own = np.flatnonzero(which.ravel() == kind)
+                slot = np.full(len(first), -1)
+                slot[own] = np.arange(len(own))
+                rows_in = slot[tile_of]
+                there = rows_in >= 0
+                values = {}
+                for c in names:
+                    column = np.asarray(batch.column(batch.schema.get_field_index(c)))
+                    plane = np.zeros((len(own), h, w), column.dtype)
+                    plane[rows_in[there], at[0][there] - r0, at[1][there] - c0] = column[there]
+                    values[c] = plane
+                rows, cols = np.arange(ra, rz), np.arange(ca, cz)
+                out = kernel(Tile(values, rows, cols, r0, c0))
+                many = len(rows) * len(cols)
+                grid = [np.repeat(first[own, 0], many), np.tile(np.repeat(rows + r0, len(cols)), len(own)), np.tile(cols + c0, len(rows) * len(own))]
+                yield pa.RecordBatch.from_arrays([pa.array(a, f.type, from_pandas=False) for a, f in zip([*grid, *(np.asarray(out[k]).ravel() for k in outputs)], schema)], schema=schema)
 
     ddl = "image_id long, row int, col int" + "".join(f", {k} {t}" for k, t in outputs.items())
-    return dealt.groupBy("image_id", "tr", "tc").applyInArrow(run, ddl)
+    tile = ["image_id", "tr", "tc"]
+    return dealt.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, ddl)
 
 
 def pull_taps(px: DataFrame, offsets: list[tuple], extra: tuple[str, ...] = ()) -> DataFrame:
