@@ -1,46 +1,94 @@
-"""Contrast-limited adaptive histogram equalisation (after Zuiderveld 1994; our own definition of tiles and clipping)."""
+"""Contrast-limited adaptive histogram equalisation (Zuiderveld 1994) with equal tiles over a mirrored border."""
 
-from pyspark.sql import DataFrame, Window
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.operators.histogram import histogram
+LEVELS = 256
+
+
+def tables(counts: np.ndarray, area: int, clip: float) -> np.ndarray:
+    """Look-up tables (tiles, 256) of tile histograms (tiles, 256), in single precision.
+
+    Counts over the limit are cut off and handed out: a whole share for every level, the rest one each at an even
+    stride from level 0.
+    """
+    limit = max(1, int(clip * area / LEVELS))
+    excess = np.maximum(counts - limit, 0).sum(1)
+    rest = excess % LEVELS
+    stride = np.maximum(LEVELS // np.maximum(rest, 1), 1)[:, None]
+    level = np.arange(LEVELS)
+    more = (level % stride == 0) & (level // stride < rest[:, None])
+    flat = np.minimum(counts, limit) + (excess // LEVELS)[:, None] + more
+    scaled = np.cumsum(flat, axis=1).astype(np.float32) * (np.float32(LEVELS - 1) / np.float32(area))
+    return np.clip(np.rint(scaled), 0, LEVELS - 1).astype(np.int32)
+
+
+def tiles_of(c: str, n: str, pad: Column, size: Column) -> Column:
+    """Tiles that a pixel counts in: its own and, for the last ones, those where the border mirrors it (the last pixel itself is not repeated)."""
+    own = F.floor(F.col(c) / size).cast("int")
+    period = F.greatest(F.lit(1), 2 * (F.col(n) - 1))
+
+    def source(p):
+        m = p % period
+        return F.when(F.col(n) == 1, 0).when(m < F.col(n), m).otherwise(period - m)
+
+    beyond = F.filter(F.sequence(F.col(n), F.col(n) + pad - 1), lambda p: source(p) == F.col(c))
+    mirrored = F.concat(F.array(own), F.transform(beyond, lambda p: F.floor(p / size).cast("int")))
+    return F.when((pad == 0) | (F.col(c) < F.col(n) - 1 - pad), F.array(own)).otherwise(mirrored)
 
 
 def clahe(px: DataFrame, clip: float = 2.0, tiles_x: int = 8, tiles_y: int = 8, value: str = "v") -> DataFrame:
-    """Uneven tiles without padding (never more than rows or columns), one redistribution pass, bilinear mix of the
-    four tables whose tile centres surround a pixel. tiles < 1 become 1, clip <= 0 becomes 0.1."""
+    """Bilinear mix of the tables of the four tiles whose centres surround a pixel.
+
+    Where the tiles do not divide both sides, the image is mirrored to the next multiples (a whole tile number more on
+    a side that they do divide), and tiles are equal. Tables use single precision and round halves to even.
+    tiles < 1 become 1, clip <= 0 becomes 0.1. One row of tables an image is joined to the pixels; levels are looked
+    up by position, so no level is a key.
+    """
     tiles_x, tiles_y, clip = max(1, tiles_x), max(1, tiles_y), clip if clip > 0 else 0.1
-    size = px.groupBy("image_id").agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
-    sized = px.join(size, "image_id")
-
-    def axis(df, c, n, most, t):
-        """Own tile t, surrounding tiles t0 and t1, and the weight of t1."""
-        tiles = F.least(F.lit(most), F.col(n))
-        own = F.floor(((F.col(c) + 1) * tiles - 1) / F.col(n)).cast("int")
-        first = lambda k: F.floor(k * F.col(n) / tiles)
-        centre = lambda k: (first(k) + first(k + 1) - 1) / F.lit(2.0)
-        df = df.withColumn(t, own)
-        low = F.when(F.col(c) < centre(F.col(t)), F.col(t) - 1).otherwise(F.col(t))
-        df = df.withColumn(f"{t}l", low)
-        df = df.withColumn(f"{t}0", F.greatest(F.lit(0), F.col(f"{t}l"))).withColumn(f"{t}1", F.least(tiles - 1, F.col(f"{t}l") + 1).cast("int"))
-        gap = centre(F.col(f"{t}1")) - centre(F.col(f"{t}0"))
-        return df.withColumn(f"{t}w", F.when(gap == 0, 0.0).otherwise((F.col(c) - centre(F.col(f"{t}0"))) / F.when(gap == 0, 1.0).otherwise(gap)))
-
-    placed = axis(axis(sized, "row", "h", tiles_y, "ty"), "col", "w", tiles_x, "tx")
-    keys = ["image_id", "ty", "tx"]
-    by = Window.partitionBy(*keys)
-    hist = histogram(placed, tuple(keys), value).withColumn("total", F.sum("n").over(by))
-    limit = F.greatest(F.lit(1), F.floor(F.lit(clip) * F.col("total") / 256)).cast("long")
-    clipped = hist.withColumn("limit", limit).withColumn("excess", F.sum(F.greatest(F.lit(0).cast("long"), F.col("n") - F.col("limit"))).over(by))
-    spread = F.least("n", "limit") + F.floor(F.col("excess") / 256) + F.when(F.col("level") < F.col("excess") % 256, 1).otherwise(0)
-    run = by.orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lut = clipped.withColumn("c", F.sum(spread).over(run)).select(*keys, "level", F.floor(F.lit(255.0) * F.col("c") / F.col("total") + 0.5).cast("double").alias("m"))
-    out = placed
-    for a in "01":
-        for b in "01":
-            out = out.join(lut.select("image_id", F.col("ty").alias(f"ty{a}"), F.col("tx").alias(f"tx{b}"), F.col("level").alias(value), F.col("m").alias(f"m{a}{b}")), ["image_id", f"ty{a}", f"tx{b}", value])
-    wx, wy = F.col("txw"), F.col("tyw")
-    top = (1 - wx) * F.col("m00") + wx * F.col("m01")
-    bottom = (1 - wx) * F.col("m10") + wx * F.col("m11")
-    mixed = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (1 - wy) * top + wy * bottom)) + 0.5).cast("int")
-    return out.select(*[F.col(c) if c != value else mixed.alias(value) for c in px.columns])
+    size = px.groupBy("image_id").agg((F.max("row") + 1).alias("h__"), (F.max("col") + 1).alias("w__"))
+    even = (F.col("h__") % tiles_y == 0) & (F.col("w__") % tiles_x == 0)
+    pads = {n: F.when(even, 0).otherwise(t - F.col(n) % t) for n, t in (("h__", tiles_y), ("w__", tiles_x))}
+    size = size.select("*", pads["h__"].alias("ph__"), pads["w__"].alias("pw__"))
+    size = size.select("*", ((F.col("h__") + F.col("ph__")) / tiles_y).cast("int").alias("th__"), ((F.col("w__") + F.col("pw__")) / tiles_x).cast("int").alias("tw__"))
+    counted = (px.join(size, "image_id")
+               .select("image_id", "th__", "tw__", F.col("col"), "w__", "pw__", F.col(value).alias("level__"), F.explode(tiles_of("row", "h__", F.col("ph__"), F.col("th__"))).alias("ty__"))
+               .select("image_id", "th__", "tw__", "level__", "ty__", F.explode(tiles_of("col", "w__", F.col("pw__"), F.col("tw__"))).alias("tx__"))
+               .groupBy("image_id", "th__", "tw__", ((F.col("ty__") * tiles_x + F.col("tx__")) * LEVELS + F.col("level__")).alias("cell__")).agg(F.count("*").alias("n__")))
+    whole = counted.groupBy("image_id", "th__", "tw__").agg(F.collect_list("cell__").alias("cells__"), F.collect_list("n__").alias("ns__"))
+
+    def run(batches):
+        for b in batches:
+            luts = []
+            for th, tw, cells, ns in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4))):
+                counts = np.zeros(tiles_x * tiles_y * LEVELS, np.int64)
+                counts[np.array(cells)] = ns
+                luts.append(tables(counts.reshape(-1, LEVELS), th * tw, clip).ravel())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(luts, pa.list_(pa.int32()))], ["image_id", "th__", "tw__", "lut__"])
+
+    luts = whole.mapInArrow(run, "image_id long, th__ int, tw__ int, lut__ array<int>")
+    one, half = F.lit(1.0).cast("float"), F.lit(0.5).cast("float")
+
+    def axis(c, n, tiles):
+        """First and second tile and the weights of both, in single precision."""
+        at = F.col(c).cast("float") * (one / F.col(n).cast("float")).cast("float") - half
+        low = F.floor(at).cast("int")
+        share = at - low.cast("float")
+        return F.greatest(low, F.lit(0)), F.least(low + 1, F.lit(tiles - 1)), one - share, share
+
+    out = px.join(luts, "image_id")
+    names = {}
+    for k, (c, n, tiles) in {"y": ("row", "th__", tiles_y), "x": ("col", "tw__", tiles_x)}.items():
+        names |= {f"{k}{i}__": column for i, column in enumerate(axis(c, n, tiles))}
+    out = out.select("*", *[column.alias(k) for k, column in names.items()])
+
+    def level(ty, tx):
+        return F.get("lut__", (F.col(ty) * tiles_x + F.col(tx)) * LEVELS + F.col(value)).cast("float")
+
+    mixed = (level("y0__", "x0__") * F.col("x2__") + level("y0__", "x1__") * F.col("x3__")) * F.col("y2__") + (level("y1__", "x0__") * F.col("x2__") + level("y1__", "x1__") * F.col("x3__")) * F.col("y3__")
+    rounded = F.greatest(F.lit(0), F.least(F.lit(255), F.rint(mixed).cast("int")))
+    return out.select(*[F.col(c) if c != value else rounded.alias(value) for c in px.columns])

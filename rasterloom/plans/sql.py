@@ -175,44 +175,51 @@ FROM (SELECT * FROM maps WHERE v = 255) e JOIN truth t ON t.image_id = e.image_i
 WHERE sqrt(((e.row - t.row) * (e.row - t.row) + (e.col - t.col) * (e.col - t.col))::DOUBLE) <= most"""
 
 
-def axis(c: str, n: str, tiles: int, t: str) -> str:
-    k = f"least({tiles}, {n})"
-    first = lambda i: f"floor({i} * {n}::DOUBLE / {k})"
-    centre = lambda i: f"(({first(i)} + {first(f'({i} + 1)')} - 1) / 2.0::DOUBLE)"
-    return k, centre
-
-
 def clahe(src: str, val: str = "v", keep: str = "") -> str:
+    """Equal tiles over the mirrored raster; padded rows and columns are listed with the row or column they mirror."""
     clip, tx, ty = CLAHE
-    steps = [f"sized AS (SELECT p.*, h, w FROM {src} p JOIN (SELECT image_id, max(row) + 1 AS h, max(col) + 1 AS w FROM {src} GROUP BY 1) USING (image_id))"]
-    prev = "sized"
-    for c, n, tiles, t in (("row", "h", ty, "ty"), ("col", "w", tx, "tx")):
-        k, centre = axis(c, n, tiles, t)
-        steps.append(f"{t}a AS (SELECT *, floor((({c} + 1) * {k} - 1)::DOUBLE / {n})::INT AS {t} FROM {prev})")
-        steps.append(f"{t}b AS (SELECT *, CASE WHEN {c} < {centre(t)} THEN {t} - 1 ELSE {t} END AS {t}l FROM {t}a)")
-        steps.append(f"{t}c AS (SELECT *, greatest(0, {t}l) AS {t}0, least({k} - 1, {t}l + 1) AS {t}1 FROM {t}b)")
-        gap = f"({centre(f'{t}1')} - {centre(f'{t}0')})"
-        steps.append(f"{t}d AS (SELECT *, CASE WHEN {gap} = 0 THEN 0.0::DOUBLE ELSE ({c} - {centre(f'{t}0')}) / {gap} END AS {t}w FROM {t}c)")
-        prev = f"{t}d"
-    joins = " ".join(f"JOIN luts l{a}{b} ON l{a}{b}.image_id = p.image_id AND l{a}{b}.ty = p.ty{a} AND l{a}{b}.tx = p.tx{b} AND l{a}{b}.level = p.{val}" for a in "01" for b in "01")
-    one = "1.0::DOUBLE"
-    return f"""{', '.join(steps)},
-  cells AS (SELECT k.image_id, k.ty, k.tx, l.level::INT AS level, coalesce(c.n, 0)::BIGINT AS n FROM (SELECT DISTINCT image_id, ty, tx FROM txd) k CROSS JOIN range(256) l(level)
-    LEFT JOIN (SELECT image_id, ty, tx, {val} AS level, count(*) AS n FROM txd GROUP BY 1, 2, 3, 4) c ON c.image_id = k.image_id AND c.ty = k.ty AND c.tx = k.tx AND c.level = l.level),
-  lim AS (SELECT *, sum(n) OVER t AS total, greatest(1, floor({d(clip)} * sum(n) OVER t / 256))::BIGINT AS lim FROM cells WINDOW t AS (PARTITION BY image_id, ty, tx)),
+    pads = [f"(CASE WHEN h % {ty} = 0 AND w % {tx} = 0 THEN 0 ELSE {t} - {n} % {t} END)" for n, t in (("h", ty), ("w", tx))]
+
+    def padded(name: str, n: str, pad: str, size: str, out: str) -> str:
+        """One row for each row (column) of the padded raster: the one it shows and its tile."""
+        back = f"(2 * ({n} - 1))"
+        return f"{name} AS (SELECT image_id, (CASE WHEN {n} = 1 THEN 0 WHEN p % {back} < {n} THEN p % {back} ELSE {back} - p % {back} END)::INT AS src, (p // {size})::INT AS {out} FROM (SELECT *, unnest(range({n} + {pad})) AS p FROM size))"
+
+    def axis(c: str, n: str, tiles: int, k: str) -> str:
+        at = f"({c}::FLOAT * (1.0::FLOAT / {n}::FLOAT) - 0.5::FLOAT)"
+        return f"greatest(0, floor({at}))::INT AS {k}0, least({tiles - 1}, floor({at}) + 1)::INT AS {k}1, ({at} - floor({at})::FLOAT)::FLOAT AS {k}w"
+
+    joins = " ".join(f"JOIN luts l{a}{b} ON l{a}{b}.image_id = p.image_id AND l{a}{b}.ty = p.y{a} AND l{a}{b}.tx = p.x{b} AND l{a}{b}.level = p.{val}" for a in "01" for b in "01")
+    one = "1.0::FLOAT"
+    row = lambda y: f"(l{y}0.m * ({one} - xw) + l{y}1.m * xw)"
+    return f"""dims AS (SELECT image_id, max(row) + 1 AS h, max(col) + 1 AS w FROM {src} GROUP BY 1),
+  size AS (SELECT *, {pads[0]} AS ph, {pads[1]} AS pw, (h + {pads[0]}) // {ty} AS th, (w + {pads[1]}) // {tx} AS tw FROM dims),
+  {padded("prows", "h", "ph", "th", "ty")}, {padded("pcols", "w", "pw", "tw", "tx")},
+  filled AS (SELECT s.image_id, r.ty, c.tx, s.{val} AS level, count(*) AS n FROM {src} s JOIN prows r ON r.image_id = s.image_id AND r.src = s.row JOIN pcols c ON c.image_id = s.image_id AND c.src = s.col GROUP BY 1, 2, 3, 4),
+  cells AS (SELECT k.image_id, k.ty, k.tx, l.level::INT AS level, coalesce(c.n, 0)::BIGINT AS n, (z.th * z.tw)::BIGINT AS area FROM (SELECT DISTINCT image_id, ty, tx FROM filled) k JOIN size z USING (image_id) CROSS JOIN range(256) l(level)
+    LEFT JOIN filled c ON c.image_id = k.image_id AND c.ty = k.ty AND c.tx = k.tx AND c.level = l.level),
+  lim AS (SELECT *, greatest(1, floor({d(clip)} * area / 256))::BIGINT AS lim FROM cells),
   exc AS (SELECT *, (sum(greatest(0, n - lim)) OVER (PARTITION BY image_id, ty, tx))::BIGINT AS exc FROM lim),
-  luts AS (SELECT image_id, ty, tx, level, floor(255.0::DOUBLE * (sum(least(n, lim) + exc // 256 + CASE WHEN level < exc % 256 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, ty, tx ORDER BY level))::DOUBLE / total + 0.5::DOUBLE) AS m FROM exc)
-  SELECT p.image_id, p.row, p.col, {keep} floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, ({one} - tyw) * (({one} - txw) * l00.m + txw * l01.m) + tyw * (({one} - txw) * l10.m + txw * l11.m))) + 0.5::DOUBLE)::INT AS {val} FROM txd p {joins}"""
-
-
-LOW, HIGH = CANNY
-CANNY_SQL = f"""{F8}, {grads('f8')}, m AS (SELECT *, sqrt((gx * gx + gy * gy)::DOUBLE) AS mag, CASE WHEN abs(gy) <= (sqrt(2.0::DOUBLE) - 1) * abs(gx) THEN 0 ELSE -1 END AS di,
-  CASE WHEN abs(gy) <= (sqrt(2.0::DOUBLE) - 1) * abs(gx) THEN -1 WHEN abs(gy) >= (sqrt(2.0::DOUBLE) + 1) * abs(gx) THEN 0 WHEN gx * gy > 0 THEN 1 ELSE -1 END AS dj FROM grads),
-  nms AS (SELECT m.image_id, m.row, m.col, CASE WHEN m.mag > coalesce(a.mag, 0) AND m.mag >= coalesce(b.mag, 0) THEN CASE WHEN m.mag > {d(HIGH)} THEN 2 WHEN m.mag > {d(LOW)} THEN 1 ELSE 0 END ELSE 0 END AS state FROM m
+  flat AS (SELECT *, least(n, lim) + exc // 256 + CASE WHEN exc % 256 > 0 AND level % greatest(1, 256 // greatest(1, exc % 256)) = 0 AND level // greatest(1, 256 // greatest(1, exc % 256)) < exc % 256 THEN 1 ELSE 0 END AS f FROM exc),
+  luts AS (SELECT image_id, ty, tx, level, greatest(0, least(255, round_even(((sum(f) OVER (PARTITION BY image_id, ty, tx ORDER BY level))::FLOAT * (255::FLOAT / area::FLOAT))::DOUBLE, 0)))::FLOAT AS m FROM flat),
+  placed AS (SELECT p.*, {axis("row", "th", ty, "y")}, {axis("col", "tw", tx, "x")} FROM {src} p JOIN size USING (image_id))
+  SELECT p.image_id, p.row, p.col, {keep} greatest(0, least(255, round_even(({row(0)} * ({one} - yw) + {row(1)} * yw)::DOUBLE, 0)))::INT AS {val} FROM placed p {joins}"""
+
+
+def canny(src: str, grays: str) -> str:
+    """Non-maximum suppression (strict on both sides along diagonals), then reachability over the eight neighbours."""
+    low, high = CANNY
+    flat, tall = "abs(gy) <= (sqrt(2.0::DOUBLE) - 1) * abs(gx)", "abs(gy) >= (sqrt(2.0::DOUBLE) + 1) * abs(gx)"
+    around = ", ".join(f"({i}, {j})" for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)
+    return f"""{grays}, {grads(src)}, m AS (SELECT *, sqrt((gx * gx + gy * gy)::DOUBLE) AS mag, CASE WHEN {flat} THEN 0 ELSE -1 END AS di,
+  CASE WHEN {flat} THEN -1 WHEN {tall} THEN 0 WHEN gx * gy > 0 THEN 1 ELSE -1 END AS dj FROM grads),
+  nms AS MATERIALIZED (SELECT m.image_id, m.row, m.col, CASE WHEN m.mag > coalesce(a.mag, 0) AND (m.mag > coalesce(b.mag, 0) OR m.di * m.dj = 0 AND m.mag = coalesce(b.mag, 0)) THEN CASE WHEN m.mag > {d(high)} THEN 2 WHEN m.mag > {d(low)} THEN 1 ELSE 0 END ELSE 0 END AS state FROM m
     LEFT JOIN m a ON a.image_id = m.image_id AND a.row = m.row + m.di AND a.col = m.col + m.dj LEFT JOIN m b ON b.image_id = m.image_id AND b.row = m.row - m.di AND b.col = m.col - m.dj),
-  reached AS (SELECT image_id, row, col FROM nms WHERE state = 2 UNION SELECT w.image_id, w.row, w.col FROM reached r JOIN nms w ON w.image_id = r.image_id AND w.state = 1 AND abs(w.row - r.row) <= 1 AND abs(w.col - r.col) <= 1)
+  around(di, dj) AS (VALUES {around}),
+  reached AS (SELECT image_id, row, col FROM nms WHERE state = 2 UNION SELECT w.image_id, w.row, w.col FROM (SELECT r.image_id, r.row + o.di AS row, r.col + o.dj AS col FROM reached r, around o) r JOIN nms w ON w.image_id = r.image_id AND w.row = r.row AND w.col = r.col AND w.state = 1)
 SELECT n.image_id, n.row, n.col, (CASE WHEN r.row IS NULL THEN 255 ELSE 0 END)::INT AS v FROM nms n LEFT JOIN reached r USING (image_id, row, col)"""
 
+
 C3 = "r,g,b"
 GAUSS_W = gaussian_weights(*GAUSS)
 MEDC = F5C + ", med AS (WITH " + median("f5c", MEDIAN, C3) + ")"
@@ -258,6 +265,7 @@ ORACLES = {
     "sobel_edges": f"WITH {F1}, {mags('f1')} SELECT image_id, row, col, (CASE WHEN mag >= {level(25)} THEN 0 ELSE 255 END)::INT AS v FROM mags",
     "edge_candidates": f"WITH {CANDIDATES}",
     "clahe": f"WITH {F7}, {F8}, both_ AS (SELECT * FROM f7 UNION ALL SELECT 1::BIGINT, row, col, v FROM f8), {clahe('both_')}",
-    "canny": f"WITH RECURSIVE {CANNY_SQL}",
+    "canny": f"WITH RECURSIVE {canny('f8', F8)}",
+    "canny_tables": f"WITH RECURSIVE {canny('px', GRAYS)}",
     "raw_roundtrip": f"WITH {F1} SELECT * FROM f1",
 }

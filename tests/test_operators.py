@@ -158,7 +158,8 @@ def test_canny_of_whole_tables(spark):
         for i, j in np.ndindex(gx.shape):
             x, y, own = gx[i, j], gy[i, j], mag[i + 1, j + 1]
             di, dj = (0, -1) if abs(y) <= (2**0.5 - 1) * abs(x) else (-1, 0) if abs(y) >= (2**0.5 + 1) * abs(x) else (-1, 1 if x * y > 0 else -1)
-            if own > mag[i + 1 + di, j + 1 + dj] and own >= mag[i + 1 - di, j + 1 - dj]:
+            diagonal = di * dj != 0
+            if own > mag[i + 1 + di, j + 1 + dj] and (own > mag[i + 1 - di, j + 1 - dj] or not diagonal and own == mag[i + 1 - di, j + 1 - dj]):
                 state[i, j] = 2 if own > high else int(own > low)
 
         def reached(step):
@@ -237,3 +238,50 @@ def test_stream(spark, tmp_path):
 def test_bad_arguments(spark, call):
     with pytest.raises(ValueError):
         call(frame(spark, np.zeros((2, 2), int)))
+
+
+def clahe_loop(im, clip, tx, ty):
+    """Contrast-limited equalisation by plain loops: mirrored border, equal tiles, single precision."""
+    h, w = im.shape
+    even = h % ty == 0 and w % tx == 0
+    mirror = lambda p, n: 0 if n == 1 else min(p % (2 * n - 2), 2 * n - 2 - p % (2 * n - 2))
+    big = im if even else np.array([[im[mirror(i, h), mirror(j, w)] for j in range(w + tx - w % tx)] for i in range(h + ty - h % ty)])
+    th, tw = big.shape[0] // ty, big.shape[1] // tx
+    luts = {}
+    for a, b in itertools.product(range(ty), range(tx)):
+        hist = np.bincount(big[a * th : (a + 1) * th, b * tw : (b + 1) * tw].ravel(), minlength=256).tolist()
+        limit = max(1, int(clip * th * tw / 256))
+        cut = sum(max(0, n - limit) for n in hist)
+        hist = [min(n, limit) + cut // 256 for n in hist]
+        rest = cut % 256
+        if rest:
+            for k in list(range(0, 256, max(256 // rest, 1)))[:rest]:
+                hist[k] += 1
+        total, scale, lut = 0, np.float32(255) / np.float32(th * tw), []
+        for n in hist:
+            total += n
+            lut.append(min(255, int(np.rint(np.float32(total) * scale))))
+        luts[a, b] = lut
+    out, f = np.zeros((h, w), int), np.float32
+    for i, j in np.ndindex(h, w):
+        y, x = f(i) * (f(1) / f(th)) - f(0.5), f(j) * (f(1) / f(tw)) - f(0.5)
+        y0, x0 = int(np.floor(y)), int(np.floor(x))
+        ya, xa = y - f(y0), x - f(x0)
+        at = lambda a, b: f(luts[min(max(a, 0), ty - 1), min(max(b, 0), tx - 1)][im[i, j]])
+        top, bottom = (at(k, x0) * (f(1) - xa) + at(k, x0 + 1) * xa for k in (y0, y0 + 1))
+        out[i, j] = min(255, max(0, int(np.rint(top * (f(1) - ya) + bottom * ya))))
+    return out
+
+
+@pytest.mark.parametrize("clip,tx,ty", [(2.0, 8, 8), (40.0, 2, 3), (0.5, 1, 1)])
+def test_clahe_loop(spark, images, clip, tx, ty):
+    more = [*images, np.random.default_rng(9).integers(0, 30, (24, 17)), np.random.default_rng(8).integers(90, 160, (16, 32))]
+    for im, got in zip(more, arrays(clahe(frame(spark, *more), clip, tx, ty), more)):
+        assert (got == clahe_loop(im, clip, tx, ty)).all()
+
+
+def test_psnr_of_rasters_that_differ_in_pixels_raises(spark):
+    px = frame(spark, np.arange(6).reshape(2, 3))
+    for a, b in ((px, px.where("col < 2")), (px.where("row = 0"), px)):
+        with pytest.raises(Exception, match="one raster only"):
+            metrics.psnr_gray(a, b).collect()
