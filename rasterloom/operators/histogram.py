@@ -44,9 +44,10 @@ def transfer_function(px: DataFrame, value="v") -> DataFrame:
 
 
 def apply_lut(px: DataFrame, lut: DataFrame, value="v") -> DataFrame:
-    """Replace `value` by the table's mapping; the table has 256 rows an image, the planner broadcasts it while small."""
-    keep = [F.col(c) if c != value else F.col("mapped").alias(value) for c in px.columns]
-    return px.join(lut.withColumnRenamed("level", value), ["image_id", value]).select(*keep)
+    """Replace `value` by the table's mapping: one row of 256 levels an image is joined, so no level is a key however common it is. Levels that the table lacks become null; images that it lacks drop out."""
+    level = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.try_element_at(F.col("m__"), k))
+    tables = lut.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("level", "mapped"))).alias("m__")).select("image_id", level.alias("lut__"))
+    return px.join(tables, "image_id").select(*[F.col(c) if c != value else F.get("lut__", F.col(value)).alias(value) for c in px.columns])
 
 
 def equalize_lut(px: DataFrame, value="v") -> DataFrame:
