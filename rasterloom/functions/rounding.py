@@ -1,4 +1,4 @@
-"""The three roundings that the operators use, as column expressions."""
+"""The roundings that the operators use, as column expressions."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -8,11 +8,6 @@ def clamp(x: Column, low: int = 0, high: int = 255) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def half_away(x: Column) -> Column:
-    """Nearest integer, halves away from zero."""
-    return F.round(x)
-
-
 def clamp_trunc(x: Column) -> Column:
     """Clamp to 0..255, then truncate x + 0.5."""
     return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), x)) + F.lit(0.5)).cast("int")
@@ -21,8 +16,3 @@ def clamp_trunc(x: Column) -> Column:
 def clamp_round(x: Column) -> Column:
     """Round halves away from zero, then clamp to 0..255."""
     return clamp(F.round(x)).cast("int")
-
-
-def int_div(a: Column, b: int) -> Column:
-    """Truncating division of non-negative integers."""
-    return F.floor(a / F.lit(b)).cast("int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import os
 import re
 import uuid
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from rasterloom.operators.validate import positive_size
 
@@ -41,7 +42,7 @@ class RawRaster(DataSource):
         return "image_id long, row int, col int, v int" if int(self.options.get("channels", 1)) == 1 else "image_id long, row int, col int, ch int, v int"
 
     def reader(self, schema):
-        return RawReader(self.options)
+        return (PruningReader if self.options.get("prune") == "true" else RawReader)(self.options)
 
     def writer(self, schema, overwrite):
         return RawWriter(self.options, [f.name for f in schema.fields])
@@ -61,15 +62,6 @@ class RawReader(DataSourceReader):
         self.image_id, self.strip = int(options.get("image_id", 0)), int(options.get("strip", 256))
         self.low, self.high = 0, self.height
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if getattr(f, "attribute", None) == ("row",) and isinstance(getattr(f, "value", None), int):
-                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                    self.high = min(self.high, f.value + (not isinstance(f, LessThan)))
-            yield f
-
     def partitions(self):
         if os.path.getsize(self.path) < self.width * self.height * self.channels:
             raise ValueError(f"{self.path}: shorter than {self.width} x {self.height} x {self.channels} bytes")
@@ -90,33 +82,60 @@ class RawReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([*cols, pa.array(v)], [*names, "v"])
 
 
+class PruningReader(RawReader):
+    """Conditions on row leave out strips; Spark allows that only while spark.sql.python.filterPushdown.enabled is set."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if getattr(f, "attribute", None) == ("row",) and isinstance(getattr(f, "value", None), int):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    self.high = min(self.high, f.value + (not isinstance(f, LessThan)))
+            yield f
+
+
 @dataclass
 class Piece(WriterCommitMessage):
-    first: tuple | None
-    path: str | None
+    first: int
+    last: int
+    path: str
 
 
-class RawWriter(DataSourceWriter):
-    """Each task writes its strip, the commit joins them by first (row, col, ch). Rows must come range-partitioned and sorted."""
+class RawWriter(DataSourceArrowWriter):
+    """Each task writes its pixels beside the file, the commit joins the pieces in order. Rows must come range-partitioned and sorted; a gap, a repeated pixel or a second image raises, in a task or at the commit, and leaves no file."""
 
     def __init__(self, options, names):
         self.path, self.names, self.run = local(options["path"]), names, uuid.uuid4().hex
+        self.width, self.height, self.channels = (int(options.get(k, 1)) for k in ("width", "height", "channels"))
 
-    def write(self, rows):
-        at = [self.names.index(c) for c in ("row", "col", "ch") if c in self.names]
-        v, first, out = self.names.index("v"), None, bytearray()
-        for r in rows:
-            first = first or tuple(r[i] for i in at)
-            out.append(r[v])
-        if first is None:
-            return Piece(None, None)
-        path = f"{self.path}.{self.run}.{uuid.uuid4().hex}.part"
+    def write(self, batches):
+        path, first, last, image = f"{self.path}.{self.run}.{uuid.uuid4().hex}.part", None, None, None
         with open(path, "wb") as f:
-            f.write(out)
-        return Piece(first, path)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                row, col, v, own = (np.asarray(b.column(self.names.index(c))).astype(np.int64) for c in ("row", "col", "v", "image_id"))
+                at = (row * self.width + col) * self.channels
+                if "ch" in self.names:
+                    at = at + np.asarray(b.column(self.names.index("ch")))
+                image = int(own[0]) if image is None else image
+                steps = np.diff(at if last is None else np.r_[last, at])
+                if (steps != 1).any() or (own != image).any() or v.min() < 0 or v.max() > 255:
+                    raise ValueError(f"{self.path}: missing or repeated pixels, several images, or values beyond 0..255")
+                first, last = int(at[0]) if first is None else first, int(at[-1])
+                f.write(v.astype(np.uint8).tobytes())
+        if first is None:
+            os.remove(path)
+            return Piece(-1, -1, "")
+        return Piece(first, last, path)
 
     def commit(self, messages):
         pieces = sorted((m for m in messages if m and m.path), key=lambda m: m.first)
+        ends = [-1, *(m.last for m in pieces)]
+        if [m.first for m in pieces] != [e + 1 for e in ends[:-1]] or ends[-1] + 1 != self.width * self.height * self.channels:
+            self.abort(messages)
+            raise ValueError(f"{self.path}: missing or repeated pixels")
         with open(f"{self.path}.{self.run}.part", "wb") as whole:
             for m in pieces:
                 with open(m.path, "rb") as f:
@@ -126,21 +145,26 @@ class RawWriter(DataSourceWriter):
         self.abort(messages)
 
     def abort(self, messages):
-        for m in messages:
-            if m and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+        for path in glob.glob(f"{glob.escape(self.path)}.{self.run}.*part"):  # also those of tasks that failed
+            os.remove(path)
 
 
 def read_raw(spark, path: str, width: int, height: int, channels: int = 1, image_id: int = 0) -> DataFrame:
+    """One large raw file by strips, from a path that every executor can open; see images.read_raw_files for many files and for other stores.
+
+    With spark.sql.python.filterPushdown.enabled set, conditions on row leave out strips."""
     positive_size(width, height, channels)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    prune = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     spark.dataSource.register(RawRaster)
-    return spark.read.format("rawraster").option("path", path).option("width", width).option("height", height).option("channels", channels).option("image_id", image_id).load()
+    return spark.read.format("rawraster").option("path", path).option("width", width).option("height", height).option("channels", channels).option("image_id", image_id).option("prune", prune.lower()).load()
 
 
 def write_raw(px: DataFrame, path: str) -> None:
-    """One image's pixels (long form for colour) as a raw file in row, column, channel order."""
-    px.sparkSession.dataSource.register(RawRaster)
+    """One image's pixels (long form for colour) as a raw file in row, column, channel order; an empty table, gaps, repeated pixels and several images raise. See images.write_images for one file an image."""
     keys = [c for c in ("row", "col", "ch") if c in px.columns]
+    size = px.agg(*[(F.max(c) + 1).alias(c) for c in keys], F.min("image_id").alias("low"), F.max("image_id").alias("high")).collect()[0]
+    if size.low is None or size.low != size.high:
+        raise ValueError("a raw file holds the pixels of one image")
+    px.sparkSession.dataSource.register(RawRaster)
     (px.select("image_id", *keys, F.col("v")).repartitionByRange(*keys).sortWithinPartitions(*keys)
-     .write.format("rawraster").option("path", path).mode("append").save())
+     .write.format("rawraster").option("path", path).option("width", size["col"]).option("height", size["row"]).option("channels", size["ch"] if "ch" in keys else 1).mode("append").save())

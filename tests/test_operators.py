@@ -1,6 +1,8 @@
 """Plain-loop and property tests of the raster operators."""
 
 import itertools
+import struct
+import zlib
 from math import exp
 
 import numpy as np
@@ -13,6 +15,7 @@ from rasterloom.operators.canny import canny
 from rasterloom.operators.clahe import clahe
 from rasterloom.operators.stencil import apply_stencil, pull_taps
 from rasterloom.plans import catalog, settings
+from rasterloom.sources import images as files
 from rasterloom.sources import rawraster, tables
 
 SHAPES = [(1, 1), (1, 7), (6, 1), (3, 2), (9, 11)]
@@ -285,3 +288,106 @@ def test_psnr_of_rasters_that_differ_in_pixels_raises(spark):
     for a, b in ((px, px.where("col < 2")), (px.where("row = 0"), px)):
         with pytest.raises(Exception, match="one raster only"):
             metrics.psnr_gray(a, b).collect()
+
+
+def test_raw_writer_rejects_what_is_not_one_whole_image(spark, tmp_path):
+    px = frame(spark, np.arange(12).reshape(3, 4))
+    one = px.where("row = 1 AND col = 2")
+    for bad in (px.where("NOT (row = 0 AND col = 1)"), px.unionAll(one), px.unionAll(one.withColumn("image_id", F.lit(7).cast("long"))), px.where("NOT (row = 0 AND col = 1)").unionAll(one), px.where("row < 0")):
+        with pytest.raises(Exception):
+            rawraster.write_raw(bad, str(tmp_path / "bad.raw"))
+    assert not list(tmp_path.glob("bad*"))
+
+
+def test_row_conditions_prune_strips(spark, tmp_path):
+    rawraster.write_raw(frame(spark, np.arange(200).reshape(50, 4)), str(tmp_path / "p.raw"))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        got = rawraster.read_raw(spark, str(tmp_path / "p.raw"), 4, 50).where("row >= 47 AND row < 49")
+        assert sorted(r.v for r in got.collect()) == list(range(188, 196))
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+@pytest.mark.parametrize("kind", ["raw", "png"])
+def test_image_files(spark, tmp_path, kind):
+    rng = np.random.default_rng(11)
+    ims = rng.integers(0, 256, (3, 5, 4, 3))
+    px = spark.createDataFrame([(k, *map(int, at), int(im[at])) for k, im in enumerate(ims) for at in np.ndindex(im.shape)], "image_id long, row int, col int, ch int, v int")
+    files.write_images(px.repartition(4), str(tmp_path), kind, "im{image_id}_{width}x{height}")
+    assert sorted(p.name for p in tmp_path.iterdir()) == [f"im{k}_4x5.{kind}" for k in range(3)]
+    back = files.read_raw_files(spark, f"{tmp_path}/*.raw", 4, 5, 3) if kind == "raw" else tables.read_encoded(spark, str(tmp_path))
+    names = spark.createDataFrame([(k, f"im{k}_4x5") for k in range(3)], "k long, name string").select("k", F.xxhash64("name").alias("image_id"))
+    assert sorted(map(tuple, back.join(names, "image_id").select("k", "row", "col", "ch", "v").collect())) == sorted(map(tuple, px.collect()))
+    with pytest.raises(Exception, match="pixels"):
+        files.image_bytes(px.where("v <> 7 OR row <> 0").unionAll(px.limit(1)), kind).collect()
+
+
+def test_channels_of_encoded_images(spark, tmp_path):
+    rgba = np.array([[[10, 20, 30, 40], [50, 60, 70, 80]]])
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.png").write_bytes(files.png(rgba))
+    got = sorted((r.row, r.col, r.ch, r.v) for r in tables.read_encoded(spark, str(tmp_path / "a")).collect())
+    assert got == [(*at, int(rgba[at])) for at in np.ndindex(1, 2, 4)]
+    assert [r.v for r in tables.read_edge_map(spark, str(tmp_path / "a")).orderBy("col").collect()] == [10, 50]
+    (tmp_path / "g.png").write_bytes(files.png(np.array([[[9], [8]]])))
+    assert [r.v for r in tables.read_edge_map(spark, str(tmp_path / "g.png")).orderBy("col").collect()] == [9, 8]
+    with pytest.raises(Exception):
+        tables.read_edge_map(spark, str(tmp_path / "none.png")).count()
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    with pytest.raises(Exception):
+        tables.read_edge_map(spark, str(tmp_path / "bad.png")).count()
+
+
+def mat_file(planes, name=b"groundTruth", packed=True):
+    """A MAT file of a cell array of structs with Segmentation and Boundaries, written from the format's description."""
+    def element(kind, data):
+        return struct.pack("<II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+
+    def array(cls, shape, label, body):
+        return element(14, element(6, struct.pack("<II", cls, 0)) + element(5, struct.pack("<ii", *shape)) + element(1, label) + body)
+
+    def one(plane):
+        fields = [array(11, plane.shape, b"", element(4, (plane + 1).astype("<u2").tobytes(order="F"))), array(9, plane.shape, b"", element(2, plane.astype(np.uint8).tobytes(order="F")))]
+        labels = b"Segmentation".ljust(32, b"\0") + b"Boundaries".ljust(32, b"\0")
+        return array(2, (1, 1), b"", struct.pack("<HHi", 5, 4, 32) + element(1, labels) + b"".join(fields))
+
+    whole = array(1, (1, len(planes)), name, b"".join(one(p) for p in planes))
+    if packed:
+        whole = (lambda z: struct.pack("<II", 15, len(z)) + z)(zlib.compress(whole))
+    return b"MATLAB 5.0".ljust(124) + struct.pack("<H", 0x0100) + b"IM" + whole
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_mat_ground_truth(spark, tmp_path, packed):
+    rng = np.random.default_rng(6)
+    planes = [rng.random((7, 5)) < 0.3 for _ in range(3)]
+    for stem, name in (("Bird", b"groundTruth"), ("Deer", b"other")):
+        (tmp_path / f"{stem}.mat").write_bytes(mat_file(planes, name, packed))
+    got = tables.read_truth_mat(spark, f"{tmp_path}/*.mat").collect()
+    ids = [r[0] for r in spark.sql("SELECT xxhash64('Bird') UNION ALL SELECT xxhash64('Deer')").collect()]
+    assert sorted((r.image_id, r.gt_id, r.row, r.col) for r in got) == sorted((i, k + 1, *map(int, at)) for i in ids for k, p in enumerate(planes) for at in np.argwhere(p))
+    (tmp_path / "x.mat").write_bytes(b"no")
+    with pytest.raises(Exception, match="MAT"):
+        tables.read_truth_mat(spark, f"{tmp_path}/x.mat").count()
+
+
+def test_csv_lines_and_files(spark, tmp_path):
+    pr = spark.createDataFrame([(i, "d", 20, k, 1, 2, 3, 0.5, 0.25 * k) for i in (0, 1) for k in (1, 2)], "image_id long, detector string, t int, gt_id int, tp long, n_edge long, n_gt long, p double, r double")
+    mean = edge_eval.edge_pr_mean(pr)
+    tables.write_pr(pr, mean, str(tmp_path / "pr"))
+    for i in (0, 1):
+        (part,) = (tmp_path / "pr" / f"image_id={i}" / "detector=d").glob("part-*")
+        assert part.read_text() == "GT,Precision,Recall\n1,0.500000,0.250000\n2,0.500000,0.500000\nMean,0.500000,0.375000\nF-measure,0.428571,\n"
+    sweep = spark.createDataFrame([(0, "d", t, 0.5, 0.25, t / 100) for t in (0, 7, 100)], "image_id long, detector string, t int, p double, r double, f double")
+    tables.write_curve(sweep, edge_eval.best_threshold(sweep), str(tmp_path / "curve"))
+    (part,) = (tmp_path / "curve").glob("part-*")
+    assert part.read_text() == "T,MeanPrecision,MeanRecall,MeanF\n0.00,0.500000,0.250000,0.000000\n0.07,0.500000,0.250000,0.070000\n1.00,0.500000,0.250000,1.000000\nBest,,,\nBestT,1.00,,\nBestF,,,1.000000\n"
+    px = frame(spark, np.array([[0, 0, 1, 5]] * 2), np.array([[3, 4, 5], [3, 3, 3]]))
+    tables.write_cdf(histogram.cdf_normalized(px), str(tmp_path / "cdf"))
+    (part,) = (tmp_path / "cdf" / "image_id=1").glob("part-*")
+    assert part.read_text().splitlines()[:6] == ["intensity,cdf", "0,0", "1,0", "2,0", "3,0.666667", "4,0.833333"] and part.read_text().endswith("255,1\n")
+    hist = histogram.histogram(px.select("image_id", "row", "col", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("ch"), "v"), ("image_id", "ch"))
+    tables.write_rgb_histogram(hist.where("image_id = 0"), hist.where("image_id = 0"), str(tmp_path / "rgb"))
+    (part,) = (tmp_path / "rgb").glob("part-*")
+    assert part.read_text().splitlines()[:3] == ["value,R_before,G_before,B_before,R_after,G_after,B_after", "0,4,4,4,4,4,4", "1,2,2,2,2,2,2"]
