@@ -11,8 +11,9 @@ from rasterloom.operators import edge_eval, filters, histogram, metrics
 from rasterloom.operators.canny import canny
 from rasterloom.operators.clahe import clahe
 from rasterloom.plans import fixtures as fx
-from rasterloom.plans.settings import BILATERAL, CANNY, CLAHE, GAUSS, MEDIAN, NLM, NLM_A, SHARES, SWEEP, UNIFORM
+from rasterloom.plans.settings import BILATERAL, CANNY, CANNY_EVALUATED, CLAHE, GAUSS, MEDIAN, NLM, NLM_A, SHARES, SWEEP, UNIFORM
 from rasterloom.plans.sql import ORACLES  # noqa: F401
+from rasterloom.sources import images, tables
 from rasterloom.sources.rawraster import read_raw, write_raw
 from rasterloom.sources.shared import cut, shared_dir
 
@@ -85,6 +86,96 @@ def raw_roundtrip(s, d):
     return read_raw(s, path, 64, height)
 
 
+def exact_inputs(s, d):
+    """edge_inputs with two more maps, graded Sobel strength and Canny edges, and a tolerance of no pixel."""
+    maps, truth, _ = edge_inputs(s, d)
+    more = filters.sobel_magnitude(fx.f1(s, d)).select("image_id", F.lit("graded").alias("detector"), "row", "col", F.col("mag").alias("v"))
+    thin = edge_eval.strength(canny(fx.f1(s, d), *CANNY_EVALUATED)).select("image_id", F.lit("canny").alias("detector"), "row", "col", "v")
+    return maps.unionByName(more).unionByName(thin), truth, [(0, 0)]
+
+
+def pr_exact(s, d):
+    maps, truth, offsets = exact_inputs(s, d)
+    return edge_eval.edge_pr(fixed(maps), truth, offsets)
+
+
+def sweep_exact(s, d):
+    maps, truth, offsets = exact_inputs(s, d)
+    return edge_eval.edge_sweep(maps, truth, offsets, SWEEP)
+
+
+def pr_csv(s, d):
+    pr = cut(pr_exact(s, d), "pr")
+    return tables.pr_lines(pr, edge_eval.edge_pr_mean(pr))
+
+
+def curve_csv(s, d):
+    curve = cut(sweep_exact(s, d), "curve")
+    return tables.curve_lines(curve, edge_eval.best_threshold(curve))
+
+
+def rgb_histogram_csv(s, d):
+    both = [histogram.histogram(to_long(df), ("image_id", "ch")) for df in (fx.f3(s, d), metrics.gray_world(fx.f3(s, d)))]
+    return tables.rgb_histogram_lines(tables.rgb_histogram_table(*both))
+
+
+def quality(found, planes):
+    """(filter, image_id, mse_*, psnr_*) of (name, clean, filtered) rasters."""
+    out = None
+    for name, clean, filtered in found:
+        m = metrics.aligned(clean, filtered, planes).groupBy("image_id").agg(*[F.avg(c).alias(c) for c in planes])
+        cols = [F.round(x, 6).alias(f"{n}_{c}") for c in planes for n, x in (("mse", F.col(c)), ("psnr", metrics.psnr_of(F.col(c))))]
+        one = m.select(F.lit(name).alias("filter"), "image_id", *cols)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def denoise_psnr(s, d):
+    clean, noisy = fx.f1(s, d), fx.f5(s, d)
+    found = [("none", noisy), ("uniform", filters.uniform_filter(noisy, UNIFORM)), ("gaussian", filters.gaussian_filter(noisy, *GAUSS)), ("bilateral", filters.bilateral_filter(noisy, *BILATERAL))]
+    return quality([(name, clean, df) for name, df in found], "v")
+
+
+def denoise_psnr_nlm(s, d):
+    clean = fx.f2(s, d)
+    noisy = clean.withColumn("v", fx.noisy(F.col("v"), F.col("row"), F.col("col")))
+    return quality([("nlm", clean, filters.nlm(noisy, *NLM, a=NLM_A))], "v")
+
+
+def denoise_psnr_rgb(s, d):
+    clean, noisy = fx.f3(s, d), fx.f5rgb(s, d)
+    found = [("none", noisy), ("median", filters.median_filter(noisy, MEDIAN, RGB)), ("median_gaussian", filters.median_then_gaussian(noisy, MEDIAN, *GAUSS))]
+    return quality([(name, clean, df) for name, df in found], "rgb")
+
+
+def raw_roundtrip_rgb(s, d):
+    path = f"{shared_dir(s)}/roundtrip-{uuid.uuid4().hex}.raw"
+    px = to_long(fx.f3(s, d))
+    write_raw(px, path)
+    return read_raw(s, path, 64, px.agg(F.max("row")).collect()[0][0] + 1, 3)
+
+
+def png_roundtrip(s, d):
+    folder = f"{shared_dir(s)}/png-{uuid.uuid4().hex}"
+    images.write_images(to_long(fx.f3(s, d)), folder, "png")
+    return tables.read_encoded(s, folder).withColumn("image_id", F.lit(0).cast("long"))
+
+
+def raw_images(s, d):
+    """Three images of one size, written as a file each and read back together."""
+    folder = f"{shared_dir(s)}/images-{uuid.uuid4().hex}"
+    px = fx.f1(s, d).select(F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("image_id"), "row", "col", "v")
+    images.write_images(px.withColumn("v", ((F.col("v") + F.col("image_id")) % 256).cast("int")), folder)
+    back = images.read_raw_files(s, folder, 64, px.agg(F.max("row")).collect()[0][0] + 1)
+    names = s.range(3).select(F.col("id").alias("k"), F.xxhash64(F.col("id").cast("string")).alias("image_id"))
+    return back.join(F.broadcast(names), "image_id").select(F.col("k").alias("image_id"), "row", "col", "v")
+
+
+def bayer_sites(s, d):
+    site = filters.bayer_site(F.col("row"), F.col("col")).alias("site")
+    return fx.f1(s, d).groupBy("image_id", site).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
 def two_images(s, d):
     return fx.f7(s, d).unionByName(fx.f8(s, d).withColumn("image_id", F.lit(1).cast("long")))
 
@@ -131,4 +222,23 @@ QUERIES = {
     "canny": lambda s, d: canny(fx.f8(s, d), *CANNY),
     "canny_tables": lambda s, d: canny(grays(s, d), *CANNY),
     "raw_roundtrip": raw_roundtrip,
+    "raw_roundtrip_rgb": raw_roundtrip_rgb,
+    "raw_images": raw_images,
+    "png_roundtrip": png_roundtrip,
+    "edge_pr_exact": lambda s, d: rounded(pr_exact(s, d), "p", "r"),
+    "edge_pr_mean_exact": lambda s, d: rounded(edge_eval.edge_pr_mean(pr_exact(s, d)), "p", "r", "f"),
+    "edge_sweep_exact": lambda s, d: rounded(sweep_exact(s, d), "p", "r", "f"),
+    "edge_best_exact": lambda s, d: rounded(edge_eval.best_threshold(sweep_exact(s, d)), "p", "r", "f"),
+    "histogram_csv": lambda s, d: tables.histogram_lines(histogram.histogram(grays(s, d))),
+    "transfer_csv": lambda s, d: tables.transfer_lines(histogram.transfer_function(grays(s, d)).select("image_id", "level", "mapped")),
+    "cdf_csv": lambda s, d: tables.cdf_lines(histogram.cdf_normalized(grays(s, d))),
+    "rgb_histogram_csv": rgb_histogram_csv,
+    "pr_csv": pr_csv,
+    "curve_csv": curve_csv,
+    "denoise_psnr": denoise_psnr,
+    "denoise_psnr_nlm": denoise_psnr_nlm,
+    "denoise_psnr_rgb": denoise_psnr_rgb,
+    "sobel_pipeline": lambda s, d: filters.sobel_pipeline(fx.f3(s, d)),
+    "bayer_sites": bayer_sites,
+    "edges_inverted": lambda s, d: filters.invert_binary(filters.sobel_edges(fx.f1(s, d), 25.0)),
 }

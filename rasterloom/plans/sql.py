@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from rasterloom.operators.filters import gaussian_weights, uniform_weights
-from rasterloom.plans.settings import BILATERAL, CANNY, CLAHE, GAUSS, MEDIAN, NLM, NLM_A, SHARES, UNIFORM
+from rasterloom.plans.settings import BILATERAL, CANNY, CANNY_EVALUATED, CLAHE, GAUSS, MEDIAN, NLM, NLM_A, SHARES, UNIFORM
 
 
 def q(x: str) -> str:
@@ -206,27 +206,94 @@ def clahe(src: str, val: str = "v", keep: str = "") -> str:
   SELECT p.image_id, p.row, p.col, {keep} greatest(0, least(255, round_even(({row(0)} * ({one} - yw) + {row(1)} * yw)::DOUBLE, 0)))::INT AS {val} FROM placed p {joins}"""
 
 
-def canny(src: str, grays: str) -> str:
-    """Non-maximum suppression (strict on both sides along diagonals), then reachability over the eight neighbours."""
-    low, high = CANNY
+def canny_steps(low: float, high: float) -> str:
+    """From grads: non-maximum suppression (strict on both sides along diagonals), then reachability over the eight neighbours; the result is dark (image_id, row, col, v)."""
     flat, tall = "abs(gy) <= (sqrt(2.0::DOUBLE) - 1) * abs(gx)", "abs(gy) >= (sqrt(2.0::DOUBLE) + 1) * abs(gx)"
     around = ", ".join(f"({i}, {j})" for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)
-    return f"""{grays}, {grads(src)}, m AS (SELECT *, sqrt((gx * gx + gy * gy)::DOUBLE) AS mag, CASE WHEN {flat} THEN 0 ELSE -1 END AS di,
+    return f"""slopes AS (SELECT *, sqrt((gx * gx + gy * gy)::DOUBLE) AS mag, CASE WHEN {flat} THEN 0 ELSE -1 END AS di,
   CASE WHEN {flat} THEN -1 WHEN {tall} THEN 0 WHEN gx * gy > 0 THEN 1 ELSE -1 END AS dj FROM grads),
-  nms AS MATERIALIZED (SELECT m.image_id, m.row, m.col, CASE WHEN m.mag > coalesce(a.mag, 0) AND (m.mag > coalesce(b.mag, 0) OR m.di * m.dj = 0 AND m.mag = coalesce(b.mag, 0)) THEN CASE WHEN m.mag > {d(high)} THEN 2 WHEN m.mag > {d(low)} THEN 1 ELSE 0 END ELSE 0 END AS state FROM m
-    LEFT JOIN m a ON a.image_id = m.image_id AND a.row = m.row + m.di AND a.col = m.col + m.dj LEFT JOIN m b ON b.image_id = m.image_id AND b.row = m.row - m.di AND b.col = m.col - m.dj),
+  nms AS MATERIALIZED (SELECT m.image_id, m.row, m.col, CASE WHEN m.mag > coalesce(a.mag, 0) AND (m.mag > coalesce(b.mag, 0) OR m.di * m.dj = 0 AND m.mag = coalesce(b.mag, 0)) THEN CASE WHEN m.mag > {d(high)} THEN 2 WHEN m.mag > {d(low)} THEN 1 ELSE 0 END ELSE 0 END AS state FROM slopes m
+    LEFT JOIN slopes a ON a.image_id = m.image_id AND a.row = m.row + m.di AND a.col = m.col + m.dj LEFT JOIN slopes b ON b.image_id = m.image_id AND b.row = m.row - m.di AND b.col = m.col - m.dj),
   around(di, dj) AS (VALUES {around}),
-  reached AS (SELECT image_id, row, col FROM nms WHERE state = 2 UNION SELECT w.image_id, w.row, w.col FROM (SELECT r.image_id, r.row + o.di AS row, r.col + o.dj AS col FROM reached r, around o) r JOIN nms w ON w.image_id = r.image_id AND w.row = r.row AND w.col = r.col AND w.state = 1)
-SELECT n.image_id, n.row, n.col, (CASE WHEN r.row IS NULL THEN 255 ELSE 0 END)::INT AS v FROM nms n LEFT JOIN reached r USING (image_id, row, col)"""
+  reached AS (SELECT image_id, row, col FROM nms WHERE state = 2 UNION SELECT w.image_id, w.row, w.col FROM (SELECT r.image_id, r.row + o.di AS row, r.col + o.dj AS col FROM reached r, around o) r JOIN nms w ON w.image_id = r.image_id AND w.row = r.row AND w.col = r.col AND w.state = 1),
+  dark AS (SELECT n.image_id, n.row, n.col, (CASE WHEN r.row IS NULL THEN 255 ELSE 0 END)::INT AS v FROM nms n LEFT JOIN reached r USING (image_id, row, col))"""
+
+
+def canny(src: str, grays: str) -> str:
+    return f"{grays}, {grads(src)}, {canny_steps(*CANNY)} SELECT * FROM dark"
+
+
+EXACT = f"""{EDGES}, {canny_steps(*CANNY_EVALUATED)}, every_map AS (SELECT * FROM maps UNION ALL SELECT image_id, 'graded', row, col, mag FROM mags UNION ALL SELECT image_id, 'canny', row, col, 255 - v FROM dark),
+  n_truth AS (SELECT image_id, gt_id, count(*) AS n_gt FROM truth GROUP BY 1, 2),
+  pixels AS (SELECT m.image_id, m.detector, m.v, t.gt_id FROM every_map m JOIN truth t USING (image_id, row, col)),
+  at_t AS (SELECT m.image_id, m.detector, k.t::INT AS t, count(*) FILTER (m.v * 100 >= k.t * 255) AS n_edge FROM every_map m, range(101) k(t) GROUP BY 1, 2, 3),
+  hits AS (SELECT p.image_id, p.detector, k.t::INT AS t, p.gt_id, count(*) FILTER (p.v * 100 >= k.t * 255) AS tp FROM pixels p, range(101) k(t) GROUP BY 1, 2, 3, 4),
+  pr AS (SELECT a.image_id, a.detector, a.t, n.gt_id, coalesce(h.tp, 0)::BIGINT AS tp, a.n_edge, n.n_gt, coalesce(h.tp, 0)::DOUBLE / (a.n_edge + {d(2.0**-52)}) AS p, coalesce(h.tp, 0)::DOUBLE / (n.n_gt + {d(2.0**-52)}) AS r
+    FROM at_t a JOIN n_truth n USING (image_id) LEFT JOIN hits h ON h.image_id = a.image_id AND h.detector = a.detector AND h.t = a.t AND h.gt_id = n.gt_id),
+  means AS (SELECT image_id, detector, t, avg(p) AS p, avg(r) AS r, min(n_edge) AS n_edge FROM pr GROUP BY 1, 2, 3),
+  curve AS (SELECT *, 2.0::DOUBLE * p * r / (p + r + {d(2.0**-52)}) AS f FROM means),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, detector ORDER BY f DESC, t) AS k FROM curve) WHERE k = 1)"""
+SIX = "round(p, 6) AS p, round(r, 6) AS r"
+
+
+def text_lines(keys: str, header: str, source: str) -> str:
+    """Lines (keys, k, line) of source with the header at -1."""
+    return f"SELECT {keys}, k::BIGINT AS k, line FROM ({source}) UNION ALL SELECT DISTINCT {keys}, -1::BIGINT, '{header}' FROM ({source})"
 
 
+PR_CSV = f"""SELECT image_id, detector, gt_id AS k, gt_id || ',' || printf('%.6f', p) || ',' || printf('%.6f', r) AS line FROM pr WHERE t = 20 AND n_edge > 0
+  UNION ALL SELECT image_id, detector, {1 << 30}, 'Mean,' || printf('%.6f', p) || ',' || printf('%.6f', r) FROM curve WHERE t = 20 AND n_edge > 0 UNION ALL SELECT image_id, detector, {(1 << 30) + 1}, 'F-measure,' || printf('%.6f', f) || ',' FROM curve WHERE t = 20 AND n_edge > 0"""
+CURVE_CSV = f"""SELECT image_id, detector, t AS k, printf('%.2f', t / 100.0::DOUBLE) || ',' || printf('%.6f', p) || ',' || printf('%.6f', r) || ',' || printf('%.6f', f) AS line FROM curve
+  UNION ALL SELECT image_id, detector, {1 << 30}, 'Best,,,' FROM best UNION ALL SELECT image_id, detector, {(1 << 30) + 1}, 'BestT,' || printf('%.2f', t / 100.0::DOUBLE) || ',,' FROM best UNION ALL SELECT image_id, detector, {(1 << 30) + 2}, 'BestF,,,' || printf('%.6f', f) FROM best"""
+
 C3 = "r,g,b"
 GAUSS_W = gaussian_weights(*GAUSS)
 MEDC = F5C + ", med AS (WITH " + median("f5c", MEDIAN, C3) + ")"
 NLMC = F2
 F2RGB = F2 + ", f2c AS (SELECT image_id // 3 AS image_id, row, col, max(v) FILTER (image_id % 3 = 0) AS r, max(v) FILTER (image_id % 3 = 1) AS g, max(v) FILTER (image_id % 3 = 2) AS b FROM f2 GROUP BY 1, 2, 3 HAVING count(*) = 3)"
 
+GRAY_WORLD = f"""m AS (SELECT image_id, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb FROM f3 GROUP BY 1),
+  balanced AS (SELECT image_id, row, col, {', '.join(trunc(f'(CASE WHEN m{c} <= 1e-12 THEN 1.0::DOUBLE ELSE ((mr + mg + mb) / 3) / m{c} END) * {c}') + f' AS {c}' for c in 'rgb')} FROM f3 JOIN m USING (image_id))"""
+F2NOISY = F2 + f", f2n AS (SELECT image_id, row, col, {noisy('v', 'row')} AS v FROM f2)"
+
+
+def quality(clean: str, noisy_: str, label: str, planes: str) -> str:
+    """(filter, image_id, mse_*, psnr_*) of one filtered raster."""
+    sums = ", ".join(f"avg((a.{c} - b.{c}) * (a.{c} - b.{c})) AS {c}" for c in planes)
+    out = ", ".join(f"round({c}, 6) AS mse_{c}, {psnr(c)} AS psnr_{c}" for c in planes)
+    return f"SELECT '{label}' AS filter, image_id, {out} FROM (SELECT a.image_id, {sums} FROM {clean} a JOIN ({noisy_}) b USING (image_id, row, col) GROUP BY 1)"
+
+
+def counts(src: str, c: str, name: str) -> str:
+    return f"count(*) FILTER (kind = '{src}' AND ch = '{c}') AS {name}"
+
+
+RGB_COUNTS = ", ".join(counts(k, c, f"{c.upper()}_{k}") for k in ("before", "after") for c in "rgb")
+RGB_CSV = f"""SELECT 0::BIGINT AS image_id, l.level AS k, l.level || {" || ".join(f"',' || coalesce({c.upper()}_{k}, 0)" for k in ("before", "after") for c in "rgb")} AS line FROM range(256) l(level) LEFT JOIN (
+  SELECT v, {RGB_COUNTS} FROM ({" UNION ALL ".join(f"SELECT '{k}' AS kind, '{c}' AS ch, {c} AS v FROM {src}" for k, src in (("before", "f3"), ("after", "balanced")) for c in "rgb")}) GROUP BY 1) x ON x.v = l.level"""
+GRAY32 = "g AS (SELECT image_id, row, col, greatest(0, least(255, round(0.2989::FLOAT * r::FLOAT + 0.5870::FLOAT * g::FLOAT + 0.1140::FLOAT * b::FLOAT)))::INT AS v FROM f3)"
+LONG3 = " UNION ALL ".join(f"SELECT 0::BIGINT AS image_id, row, col, {i} AS ch, {c} AS v FROM f3" for i, c in enumerate("rgb"))
+
 ORACLES = {
+    "edge_pr_exact": f"WITH RECURSIVE {EXACT} SELECT image_id, detector, t, gt_id, tp, n_edge, n_gt, {SIX} FROM pr WHERE t = 20 AND n_edge > 0",
+    "edge_pr_mean_exact": f"WITH RECURSIVE {EXACT} SELECT image_id, detector, t, {SIX}, round(f, 6) AS f FROM curve WHERE t = 20 AND n_edge > 0",
+    "edge_sweep_exact": f"WITH RECURSIVE {EXACT} SELECT image_id, detector, t, {SIX}, round(f, 6) AS f FROM curve",
+    "edge_best_exact": f"WITH RECURSIVE {EXACT} SELECT image_id, detector, t, {SIX}, round(f, 6) AS f FROM best",
+    "pr_csv": f"WITH RECURSIVE {EXACT} {text_lines('image_id, detector', 'GT,Precision,Recall', PR_CSV)}",
+    "curve_csv": f"WITH RECURSIVE {EXACT} {text_lines('image_id, detector', 'T,MeanPrecision,MeanRecall,MeanF', CURVE_CSV)}",
+    "histogram_csv": f"WITH {GRAYS}, {hist('px')} {text_lines('image_id', 'intensity,count', 'SELECT image_id, level AS k, level || chr(44) || n AS line FROM hist')}",
+    "transfer_csv": f"WITH {GRAYS}, {lut('px')} {text_lines('image_id', 'intensity,mapped', 'SELECT image_id, level AS k, level || chr(44) || mapped AS line FROM lut')}",
+    "cdf_csv": f"WITH {GRAYS}, {hist('px')}, c AS (SELECT image_id, level, (sum(n) OVER (PARTITION BY image_id ORDER BY level))::DOUBLE / (sum(n) OVER (PARTITION BY image_id))::DOUBLE AS cdf FROM hist) {text_lines('image_id', 'intensity,cdf', f'SELECT image_id, level AS k, level || chr(44) || printf({chr(39)}%.6g{chr(39)}, cdf) AS line FROM c')}",
+    "rgb_histogram_csv": f"WITH {F3}, {GRAY_WORLD} {text_lines('image_id', 'value,R_before,G_before,B_before,R_after,G_after,B_after', RGB_CSV)}",
+    "denoise_psnr": f"WITH {F5}, {offs(square(BILATERAL[0]), 'offs')}, {taps('f5')}, u AS (WITH {conv('f5', uniform_weights(UNIFORM), 'v')}), ga AS (WITH {conv('f5', gaussian_weights(*GAUSS), 'v')}), bi AS ({BILATERAL_SQL[BILATERAL_SQL.index('w AS ('):].replace('w AS (', 'WITH w AS (', 1)}) {' UNION ALL '.join(quality('f1', f'SELECT * FROM {t}', n, 'v') for n, t in (('none', 'f5'), ('uniform', 'u'), ('gaussian', 'ga'), ('bilateral', 'bi')))}",
+    "denoise_psnr_nlm": f"WITH {F2NOISY}, den AS (WITH {nlm('f2n', *NLM, 'v', NLM_A)}) {quality('f2', 'SELECT * FROM den', 'nlm', 'v')}",
+    "denoise_psnr_rgb": f"WITH {MEDC}, mg AS (WITH {conv('med', GAUSS_W, C3)}) {' UNION ALL '.join(quality('f3', f'SELECT * FROM {t}', n, 'rgb') for n, t in (('none', 'f5c'), ('median', 'med'), ('median_gaussian', 'mg')))}",
+    "sobel_pipeline": f"WITH {F3}, {GRAY32}, {mags('g')} SELECT m.image_id, m.row, m.col, g.v AS gray, gx, gy, mag, (CASE WHEN mag >= {level(25)} THEN 0 ELSE 255 END)::INT AS edge FROM mags m JOIN g USING (image_id, row, col)",
+    "raw_roundtrip_rgb": f"WITH {F3} {LONG3}",
+    "png_roundtrip": f"WITH {F3} {LONG3}",
+    "raw_images": f"WITH {F1} SELECT k::BIGINT AS image_id, row, col, (v + k) % 256 AS v FROM f1, range(3) t(k)",
+    "bayer_sites": f"WITH {F1} SELECT image_id, CASE WHEN row % 2 = 0 AND col % 2 = 1 THEN 'r' WHEN row % 2 = 1 AND col % 2 = 0 THEN 'b' ELSE 'g' END AS site, count(*) AS n, sum(v)::BIGINT AS total FROM f1 GROUP BY 1, 2",
+    "edges_inverted": f"WITH {F1}, {mags('f1')} SELECT image_id, row, col, (CASE WHEN mag >= {level(25)} THEN 255 ELSE 0 END)::INT AS v FROM mags",
     "histogram_gray": f"WITH {GRAYS}, {hist('px')} SELECT * FROM hist",
     "histogram_rgb": f"""WITH {F3}, c AS (SELECT image_id, 0 AS ch, r AS v FROM f3 UNION ALL SELECT image_id, 1, g FROM f3 UNION ALL SELECT image_id, 2, b FROM f3)
       SELECT 0::BIGINT AS image_id, k.ch::INT AS ch, l.level::INT AS level, count(c.v)::BIGINT AS n FROM (VALUES (0), (1), (2)) k(ch) CROSS JOIN range(256) l(level) LEFT JOIN c ON c.ch = k.ch AND c.v = l.level GROUP BY 1, 2, 3""",
