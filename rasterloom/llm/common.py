@@ -1,15 +1,12 @@
-"""Shared helpers of the training-data operators: tables, shared-folder cuts, digests."""
+"""Shared helpers of the training-data operators: tables, batches, column names."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.sources.shared import cut, discard, shared_dir  # noqa: F401
+
 #: Rows in an Arrow batch handed to Python; texts can be long, so batches stay small.
 BATCH_ROWS = 1000
 
@@ -25,34 +22,17 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="cut-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: the lineage ends in files every executor can read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Remove the files of cuts that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_cut_path", None)
-        if path:
-            jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like `name` that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(name: str):
+    """A column by its literal name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def held_out(doc_id="doc_id"):

@@ -3,7 +3,8 @@
 log P(lang | evidence) = text likelihood + declared markup language + address suffix + host prior. The text model is
 naive Bayes over byte trigrams, fitted on a bounded labelled sample. The other terms come from grouped aggregates of
 the text posteriors over all rows: P(declared | lang), P(suffix | lang), and host priors smoothed from host to
-domain to suffix to the whole. Every aggregate is a table that grows with distinct values only.
+domain to suffix to the whole. A row's own text counts in none of its aggregates: they are evidence of the other
+rows. Every aggregate is a table that grows with distinct values only.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import cut, discard, small_batches, table
+from rasterloom.llm.common import cut, discard, fresh, small_batches, table
 
 #: Labelled documents that the text model takes at most for each language (smallest hash of the id).
 SAMPLE = 1000
 #: Hash ranges of ids, counted to find each language's sample without sorting all its rows.
 RANGES = 4096
-#: Hash buckets of byte trigrams; trigrams of text that count as evidence at most (more only repeat the same).
+#: Hash buckets of byte trigrams; the most trigrams that a text counts as: n count as n * EVIDENCE / (n + EVIDENCE), since those of one text are not independent.
 GRAMS, EVIDENCE = 1 << 16, 400
 #: Pseudo-counts: rows a host's (domain's, suffix's) prior takes from the level above.
 KAPPA = 8.0
@@ -57,7 +58,7 @@ class TextModel:
         self.starts = np.searchsorted(grams, np.arange(GRAMS + 1))
 
     def evidence(self, text: str) -> tuple[np.ndarray, int]:
-        """(log-likelihoods relative to the best, letters). Long texts count as EVIDENCE trigrams at their mean."""
+        """(log-likelihoods relative to the best, letters), at the weight that EVIDENCE describes."""
         codes = gram_codes(text)
         own, times = np.unique(codes, return_counts=True)
         total = self.unseen * len(codes)
@@ -67,22 +68,22 @@ class TextModel:
             sizes = self.starts[own[i : i + step] + 1] - first
             held = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
             total += np.bincount(self.at[held], self.more[held] * np.repeat(times[i : i + step], sizes), len(self.langs))
-        if len(codes) > EVIDENCE:
-            total *= EVIDENCE / len(codes)
+        total *= EVIDENCE / (EVIDENCE + len(codes))
         return total - total.max(initial=-np.inf) if len(total) else total, len(codes)
 
 
 def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int) -> DataFrame:
     """(lang, text) of each language's first `sample` labelled rows by (hash of the id, id).
 
-    Counts of hash ranges tell where each sample ends, so that only the rows of the range it ends in are ranked.
+    Counts of hash ranges tell where each sample ends, so that only the rows of the range it ends in are ranked and
+    texts are read once.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.lower(F.col(lang_col)).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
     rows = rows.withColumn("part", F.shiftright("h", 64 - RANGES.bit_length() + 1))
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("part")) - F.col("n")
     parts = rows.groupBy("lang", "part").agg(F.count("*").alias("n")).withColumn("before", before).where(F.col("before") < sample)
     ends = cut(parts.groupBy("lang").agg(F.max(F.struct("part", "before")).alias("end")).select("lang", F.col("end.part").alias("end"), "end.before"), "ends")
-    taken = rows.join(ends, "lang").where("part <= end")
+    taken = cut(rows.join(ends, "lang").where("part <= end"), "taken")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
     last = taken.where("part = end").withColumn("rank", rank).where(F.col("rank") <= sample).where(F.col("before") + F.col("rank") <= sample)
     return taken.where("part < end").select("lang", "text").unionAll(last.select("lang", "text"))
@@ -202,54 +203,57 @@ def identify(rows: DataFrame, model: TextModel, id_col: str, text_col: str, decl
 
     whole, n_said = total(hosts), total(declared)
     kinds, kinds_suf = max(1, declared.count()), max(1, suffixes.count())
-    prior = (whole + 1) / (whole + 1).sum()
     h, d, s, said = (df.select(*keys, F.col("n").alias(n)) for df, keys, n in ((hosts.where("host IS NOT NULL"), ["host", "domain", "suffix"], "ch"), (domains, ["domain"], "cd"), (suffixes, ["suffix"], "cs"), (declared, ["declared"], "cv")))
+    counts = cut(h.join(d, "domain", "left").join(s, "suffix", "left").select("host", "ch", "cd", "cs"), "counts")
 
     def matrix(column):
         """Rows of a column of arrays, nulls as zeros; which are not null."""
         there = np.asarray(column.is_valid())
         out = np.zeros((len(column), len(langs)))
         out[there] = np.asarray(column.drop_null().flatten()).reshape(-1, len(langs))
-        return out, there
+        return out, there[:, None]
 
     def smoothed(counts, above):
         return (counts + KAPPA * above) / (counts.sum(1, keepdims=True) + KAPPA)
 
-    def host_priors(batches):
-        for b in (part for whole in batches for part in slices(whole, len(langs))):
-            ch, cd, cs = (matrix(b.column(i))[0] for i in (1, 2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), vectors(smoothed(ch, smoothed(cd, smoothed(cs, prior[None]))))], ["host", "ph"])
-
-    priors = cut(h.join(d, "domain", "left").join(s, "suffix", "left").select("host", "ch", "cd", "cs").mapInArrow(host_priors, "host string, ph array<double>"), "priors")
-
-    def likelihood(column, totals, kinds):
-        """log P(value | lang), add-half smoothed; neutral where the value is missing."""
-        counts, there = matrix(column)
-        return np.where(there[:, None], np.log((counts + 0.5) / (totals + 0.5 * (kinds + 1))), 0.0)
-
     def fuse(batches):
         names = np.array(langs, object)
         for b in (part for whole in batches for part in slices(whole, len(langs))):
-            ll, (ph, there) = matrix(b.column(4))[0], matrix(b.column(5))
-            post = softmax(ll + np.log(np.where(there[:, None], ph, prior)) + likelihood(b.column(6), n_said, kinds) + likelihood(b.column(7), whole, kinds_suf))
+            ll, counted = matrix(b.column(4))[0], np.asarray(b.column(3)) >= LEAST_LETTERS
+            own = matrix(b.column(5))[0] * counted[:, None]
+
+            def others(column):
+                """Counts of a column's value without the row's own part."""
+                counts, there = matrix(column)
+                return np.where(there, np.maximum(counts - own, 0), 0.0), there
+
+            (ch, hosted), (cd, _), (cs, _), (cv, said), (cf, suffixed) = (others(b.column(i)) for i in (6, 7, 8, 9, 10))
+            total, total_said = np.maximum(whole - own, 0), np.maximum(n_said - own * said, 0)
+            prior = (total + 1) / (total + 1).sum(1, keepdims=True)
+            by_host = np.where(hosted, smoothed(ch, smoothed(cd, smoothed(cs, prior))), prior)
+            # log P(value | lang), add-half smoothed; neutral where the value is missing
+            by_said = np.where(said, np.log((cv + 0.5) / (total_said + 0.5 * (kinds + 1))), 0.0)
+            by_suffix = np.where(suffixed, np.log((cf + 0.5) / (total + 0.5 * (kinds_suf + 1))), 0.0)
+            post = softmax(ll + np.log(by_host) + by_said + by_suffix)
             best = post.max(1)
-            rejected = (np.asarray(b.column(3)) < LEAST_LETTERS) | (best < LEAST_POSTERIOR)
+            rejected = ~counted | (best < LEAST_POSTERIOR)
             lang = np.where(rejected, "und", names[post.argmax(1)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(best), pa.array(names[ll.argmax(1)], pa.string()), b.column(1), b.column(2), pa.array(rejected)], ["id", "lang", "posterior", "text_lang", "declared", "host", "rejected"])
 
-    joined = own.join(priors, "host", "left").join(said, "declared", "left").join(s, "suffix", "left").select("id", "declared", "host", "letters", "ll", "ph", "cv", "cs")
+    joined = own.join(counts, "host", "left").join(said, "declared", "left").join(s.withColumnRenamed("cs", "cf"), "suffix", "left").select("id", "declared", "host", "letters", "ll", "p", "ch", "cd", "cs", "cv", "cf")
     kind = own.schema["id"].dataType.simpleString()
-    out = joined.mapInArrow(fuse, f"id {kind}, lang string, posterior double, text_lang string, declared string, host string, rejected boolean")
-    discard(hosts, domains)
-    return out.withColumn("posterior", F.round("posterior", 6))
+    out = cut(joined.mapInArrow(fuse, f"id {kind}, lang string, posterior double, text_lang string, declared string, host string, rejected boolean").withColumn("posterior", F.round("posterior", 6)), "languages")
+    discard(own, hosts, domains, suffixes, declared, counts)
+    return out
 
 
 def language_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """docs' rows (own columns) that identify() does not reject. Rows that share an id stand or fall with the best of them."""
-    model = fit_text_model(docs, text_col, lang_col, id_col)
-    found = cut(identify(docs, model, id_col, text_col, lang_col, source_col).select(F.col("id").alias("id__"), "rejected"), "found")
-    gone = cut(found.groupBy("id__").agg(F.min("rejected").alias("all__")).where("all__").select("id__"), "gone")
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("id__")), "left_anti")
+    found = identify(docs, fit_text_model(docs, text_col, lang_col, id_col), id_col, text_col, lang_col, source_col)
+    own = fresh("id__", docs)
+    gone = cut(found.groupBy(F.col("id").alias(own)).agg(F.min("rejected").alias("all")).where("all").select(own), "gone")
+    discard(found)
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(own)), "left_anti")
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.llm import catalog, chat, common, embedding_dedup, html_layout, language, packing, quality, sentencepiece_bpe, simhash, topk, warc
-from rasterloom.llm.components import connected_components
+from rasterloom.operators.components import connected_components
 
 SF = "/root/testdata/sf0.001"
 TEXT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -455,19 +455,29 @@ def test_fusion_against_plain_loops(spark):
         if n >= language.LEAST_LETTERS:
             for k in [("d", said), ("all",), *zip("hms", hosts)]:
                 sums[k] += post
-    base = (sums["all",] + 1) / (sums["all",] + 1).sum()
     kinds = lambda c: max(1, sum(k[0] == c and k[1] is not None for k in sums if len(k) == 2))
-    for i, said, (h, m, s), _, ll, _ in rows:
-        prior = base
+    said_all = sum((v for k, v in sums.items() if k[0] == "d" and k[1]), np.zeros(len(model.langs)))
+    kinds_d, kinds_s = kinds("d"), kinds("s")
+    for i, said, (h, m, s), n, ll, post in rows:
+        own = post * (n >= language.LEAST_LETTERS)  # a row's own text is no evidence about it
+        others = lambda *k: np.maximum(sums[k] - own, 0)
+        prior = (others("all") + 1) / (others("all") + 1).sum()
         for k in (("s", s), ("m", m), ("h", h)):
-            prior = (sums[k] + language.KAPPA * prior) / (sums[k].sum() + language.KAPPA)
-        total = sum((v for k, v in sums.items() if k[0] == "d" and k[1]), np.zeros(len(model.langs)))
-        logp = ll + np.log(prior) + np.log((sums["d", said] + 0.5) / (total + 0.5 * (kinds("d") + 1))) + np.log((sums["s", s] + 0.5) / (sums["all",] + 0.5 * (kinds("s") + 1)))
+            prior = (others(*k) + language.KAPPA * prior) / (others(*k).sum() + language.KAPPA)
+        logp = ll + np.log(prior) + np.log((others("s", s) + 0.5) / (others("all") + 0.5 * (kinds_s + 1)))
+        if said:
+            logp = logp + np.log((others("d", said) + 0.5) / (np.maximum(said_all - own, 0) + 0.5 * (kinds_d + 1)))
         w = np.exp(logp - logp.max())
         assert abs(w.max() / w.sum() - got[i].posterior) < 1e-5
         assert got[i].rejected or got[i].lang == model.langs[int(w.argmax())]
 
 
+def test_evidence_grows_evenly_with_length():
+    model = language.TextModel(["a", "b"], np.arange(language.GRAMS), np.zeros(language.GRAMS, int), np.ones(language.GRAMS))
+    gaps = [float(np.ptp(model.evidence("ab " * n)[0])) for n in (130, 132, 133, 134, 135, 140, 10**5)]
+    assert all(x < y for x, y in zip(gaps, gaps[1:])) and np.ptp(np.diff(gaps[1:5])) < 0.05 * np.diff(gaps[1:5]).mean()
+
+
 HTML = [
     ("<p>a<p>b", "a\n\nb"), ("<ul><li>x<li>y</ul>", "- x\n- y"), ("<ol start=3><li>x<li>y</ol>", "3. x\n4. y"), ("a<br>b<!-- no -->c", "a\nbc"),
     ("<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>", "a    bb\nccc  d"), ("<div hidden>x</div><span style='display: none'>y</span>z", "z"),
