@@ -390,12 +390,13 @@ def test_warc(spark):
     records = warc.responses(pages)
     out = warc.derivatives(records).collect()
     assert len(out) == 8
-    sources = {r.page_id: warc.parse(bytes(r.record))[0] for r in records.collect()}
+    sources = {(h := warc.parse(bytes(r.record))[0])[0]["WARC-Record-ID"]: h for r in records.collect()}
+    assert len(sources) == 4 and len({r.record_id for r in out}) == 8
     for r in out:
-        head, block = sources[r.page_id]
-        assert r.refers_to == head["WARC-Record-ID"] and r.target_uri == head.get("WARC-Target-URI")
+        head, block = sources[r.refers_to]
+        assert r.target_uri == head.get("WARC-Target-URI")
         assert r.block_digest == warc.sha1(r.block.encode()) and r.source_payload_digest == head["WARC-Payload-Digest"]
-        assert {o.record_id for o in out if o.page_id == r.page_id and o.type != r.type} == {r.concurrent_to}
+        assert {o.record_id for o in out if o.refers_to == r.refers_to and o.type != r.type} == {r.concurrent_to}
     first = {r.type: r.block for r in out if r.page_id == 1}
     assert first["conversion"] == "Hi there"
     assert "title: T & u\r\n" in first["metadata"] and "outlink: /y a/@href" in first["metadata"] and "source-content-type: text/html" in first["metadata"]
@@ -607,3 +608,96 @@ def test_topk_of_large_and_empty_vectors(spark):
     df = spark.createDataFrame([(1, [1e300, 1.0]), (2, [40.0, 50.0]), (3, [-1.0, 2.0]), (4, []), (5, []), (6, [3e4, -3e4])], "vec_id long, embedding array<double>")
     got = topk.top_k(df.where("vec_id <> 1"), df.where("vec_id in (2, 4)")).collect()
     assert sorted((r.query_id, r.vec_id, r.score) for r in got) == [(2, 3, 1024**2 * 60), (2, 6, 1024**2 * -300000), (4, 5, 0)]
+
+
+def http_record(payload, *http, kind="response", name="<urn:a>", length=None):
+    block = b"HTTP/1.1 200 OK\r\n" + b"".join(h + b"\r\n" for h in http) + b"\r\n" + payload
+    head = f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-RECORD-ID: {name}\r\nWARC-Target-URI: http://x/\r\n folded\r\nContent-length: {len(block) if length is None else length}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_warc_codings_and_repeated_headers():
+    import gzip
+
+    page = "<title>t</title><p>Grüße".encode()
+    chunked = b"".join(b"%x;a=b\r\n" % len(c) + c + b"\r\n" for c in (page[:5], page[5:])) + b"0\r\n\r\n"
+    cases = [(page, []), (gzip.compress(page), [b"Content-Encoding: gzip"]), (page, [b"content-encoding: gzip"]), (zlib.compress(page), [b"Content-Encoding: deflate"]), (zlib.compress(page)[2:-4], [b"Content-Encoding: deflate"]), (chunked, [b"Transfer-Encoding: chunked"]), (page, [b"Transfer-Encoding: chunked"])]
+    packed = gzip.compress(page)
+    cases.append((b"%X\r\n" % len(packed) + packed + b"\r\n0\r\n\r\n", [b"Content-Encoding: gzip", b"Transfer-Encoding: chunked"]))
+    for payload, coding in cases:
+        rows = {r[1]: r for r in warc.rows_of(1, http_record(payload, b"Content-Type: text/html; charset=utf-8", b"Set-Cookie: a=1", b"Set-Cookie: b=2", *coding))}
+        assert rows["conversion"][11] == "Grüße" and rows["conversion"][4] == "http://x/ folded"
+        lines = rows["metadata"][11].split("\r\n")
+        assert "source-set-cookie: a=1" in lines and "source-set-cookie: b=2" in lines and "title: t" in lines
+        assert rows["metadata"][10] == warc.sha1(payload) and not any("not-decoded" in x for x in lines)
+    for payload, coding in ((packed[:-12], b"gzip"), (b"..", b"br")):
+        rows = {r[1]: r for r in warc.rows_of(1, http_record(payload, b"Content-Encoding: " + coding))}
+        assert "source-not-decoded" in rows["metadata"][11] and rows["metadata"][3] == "<urn:a>"
+
+
+def test_warc_malformed_records_become_error_rows(spark):
+    good = http_record(b"<p>seen")
+    cases = [(good, 0), (b"rubbish", 1), (good[:-20], 1), (b"WARC/1.0\r\nWARC-Type: response\r\n\r\n" + b"x\r\n\r\n" + good, 1), (b"..\r\n\r\n" + good, 1), (http_record(b"", length="x") + good, 1), (http_record(b"", kind=""), 1), (http_record(b"", kind="warcinfo"), 0), (warc.gzip.compress(good) + warc.gzip.compress(good)[:-15], 2), (warc.gzip.compress(good)[:10] + b"????", 1), (b"", 0), (None, 0)]
+    df = spark.createDataFrame([(i, c and bytearray(c), "t") for i, (c, _) in enumerate(cases)], "page_id long, record binary, type string")
+    out = warc.derivatives(df).collect()
+    for i, (_, errors) in enumerate(cases):
+        assert sum(r.type == "error" for r in out if r.page_id == i) == errors
+    assert {i: sum(r.type == "conversion" and r.block == "seen" for r in out if r.page_id == i) for i in (0, 3, 4, 5, 8)} == {0: 1, 3: 1, 4: 1, 5: 1, 8: 1}
+    assert warc.serialised(warc.derivatives(df)).count() == sum(r.type != "error" for r in out)
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_warc_files_are_read_by_record(spark, tmp_path, packed):
+    pages = [f"<p>page {k}" + ("\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\n\r\n<p>no record" if k % 7 == 3 else "") + "\r\n" * (k % 5) for k in range(60)]
+    records = [warc.serialise(*warc.response(f"http://x/{k}", p, k), packed) for k, p in enumerate(pages)]
+    for half in (0, 1):
+        (tmp_path / f"f{half}.warc{'.gz' if packed else ''}").write_bytes(b"".join(records[half::2]))
+    got = warc.read_warc(spark, str(tmp_path))
+    assert got.count() == 60
+    text = {r.target_uri: r.block for r in warc.derivatives(got).where("type = 'conversion'").collect()}
+    assert text == {f"http://x/{k}": warc.plain_text(p) for k, p in enumerate(pages)}
+
+
+def test_warc_derivatives_against_the_standard_library(spark):
+    """Titles, links and words of the corpus by html.parser, digests by hashlib: a second way to every field."""
+    import base64
+    import hashlib
+    from html.parser import HTMLParser
+
+    class Second(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.title, self.words, self.links, self.skip, self.inside = "", [], [], 0, False
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style", "template", "noscript", "svg")
+            self.inside = tag == "title"
+            found = next((v for k, v in attrs if k in ("href", "src") and v is not None), None)
+            if tag in ("a", "area", "img", "link", "script", "iframe") and found is not None:
+                self.links.append(found)
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style", "template", "noscript", "svg")
+            self.inside = False
+
+        def handle_data(self, data):
+            if self.inside:
+                self.title += data
+            elif not self.skip:
+                self.words += data.split()
+
+    pages = {r.page_id: r for r in common.table(spark, SF, "pages").collect()}
+    out = warc.derivatives(warc.responses(common.table(spark, SF, "pages"))).collect()
+    assert len(out) == 2 * len(pages) and len({r.record_id for r in out}) == len(out)
+    for r in out:
+        second = Second()
+        second.feed(pages[r.page_id].html)
+        second.close()
+        assert r.target_uri == pages[r.page_id].url and r.content_length == len(r.block.encode())
+        assert r.source_payload_digest == "sha1:" + base64.b32encode(hashlib.sha1(pages[r.page_id].html.encode()).digest()).decode()
+        if r.type == "conversion":
+            assert "".join(r.block.split()) == "".join(second.words)
+        else:
+            fields = [line.partition(": ") for line in r.block.split("\r\n") if line]
+            assert [v for k, _, v in fields if k == "title"] == [" ".join(second.title.split())]
+            assert [v.rsplit(" ", 1)[0] for k, _, v in fields if k == "outlink"] == second.links
