@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +22,7 @@ TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^
 ATTR = re.compile(r"""([^\s=/"'>][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist param source track meta link base title area".split())
+UNSEEN = frozenset("rp head script style template noscript iframe noembed noframes object audio video canvas datalist param source track meta link base title area".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table pre blockquote figure hr xmp listing".split())
 BLOCK = MARGIN | frozenset("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main nav optgroup option search section summary caption thead tbody tfoot tr td th".split())
 #: A start tag of the first kind ends an open element of the second kinds ...
@@ -39,8 +41,11 @@ ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em e
 HEAD = frozenset("title style script meta link base template noscript".split())
 
 
-#: Lines of a cell that are longer do not widen their column, so padding stays in proportion to the page.
-WIDEST = 120
+#: What HTML takes for white space: no-break spaces and the like are text.
+WHITE = " \t\n\f\r"
+WORDS = re.compile(f"[^{WHITE}]+")
+#: Characters that a table's aligned lines may take, for each character and line of its text. Lines of cells that would break it do not widen their columns, longest first, so that output stays in proportion to the page.
+PADDED = 16
 #: Columns that cells of the rows above may take in a table, for each of its cells; beyond that rowspan is not followed, for the same end.
 CARRIED = 50
 
@@ -89,7 +94,7 @@ def build(source: str) -> Node:
     def text(s: str) -> None:
         if not s:
             return
-        if body is None and not s.isspace() and stack[-1].tag in ("html", "head"):
+        if body is None and s.strip(WHITE) and stack[-1].tag in ("html", "head"):
             need_body()
         stack[-1].kids.append(entities.unescape(s) if "&" in s else s)
 
@@ -213,19 +218,19 @@ class Flow:
                 self.line(True)
                 self.cur.append(line)
             return
-        words = s.split()
+        words = s.split() if s.isascii() else WORDS.findall(s)
         if not words:
             self.blank = self.blank or bool(s)
             return
-        if (self.blank or s[0].isspace()) and self.cur:
+        if (self.blank or s[0] in WHITE) and self.cur:
             self.cur.append(" ")
         self.cur.append(" ".join(words))
-        self.blank = s[-1].isspace()
+        self.blank = s[-1] in WHITE
 
     def line(self, keep: bool = False) -> None:
         s = "".join(self.cur)
         self.cur, self.blank = [], False
-        if s.strip() or keep:
+        if s.strip(WHITE) or keep:
             if self.gap and self.lines:
                 self.lines += [""] * self.gap
             self.gap = 0
@@ -233,7 +238,7 @@ class Flow:
             if self.marker:
                 indent = indent[: max(0, len(indent) - len(self.marker))] + self.marker
                 self.marker = ""
-            self.lines.append((indent + s).rstrip())
+            self.lines.append((indent + s).rstrip(WHITE))
 
     def block(self, margin: int) -> None:
         if self.cur:
@@ -246,7 +251,7 @@ class Flow:
 
 
 class Grid:
-    """Cells of one table, rendered in aligned columns; lines over WIDEST characters push the rest of their row."""
+    """Cells of one table, rendered in aligned columns."""
 
     def __init__(self):
         self.rows: list[list[tuple[list[str], int, int]]] = []
@@ -276,32 +281,62 @@ class Grid:
             out.append(cells)
         return out
 
-    def lines(self) -> list[str]:
-        widths: list[int] = []
+    def tracks(self) -> tuple[list[list[tuple[list[str], int, int]]], int]:
+        """(cell, first track, track behind it) of each row and the number of tracks: columns in which no cell begins are one with the column before."""
         rows = self.placed()
+        begins = set()
         for row in rows:
             col = 0
-            for cell, span in row:
-                widths += [0] * (col + span - len(widths))
-                if span == 1:
-                    widths[col] = max(widths[col], max((len(s) for s in cell if len(s) <= WIDEST), default=0))
+            for _, span in row:
+                begins.add(col)
                 col += span
+        order, out = sorted(begins), []
         for row in rows:
-            col = 0
+            col, cells = 0, []
             for cell, span in row:
-                lack = max((len(s) for s in cell if len(s) <= WIDEST), default=0) - sum(widths[col : col + span]) - 2 * (span - 1)
-                if span > 1 and lack > 0:
-                    widths[col + span - 1] += lack
+                cells.append((cell, bisect_left(order, col), bisect_left(order, col + span)))
                 col += span
+            out.append(cells)
+        return out, len(order)
+
+    def lines(self) -> list[str]:
+        rows, many = self.tracks()
+        heights = [max((len(cell) for cell, _, _ in row), default=0) for row in rows]
+        text = sum(heights) + sum(len(s) for row in rows for cell, _, _ in row for s in cell)
+
+        def edges(most: int) -> list[int]:
+            """Where each track begins if only lines of up to `most` characters widen it."""
+            widths = [0] * many
+            wide = lambda cell: max((n for s in cell if (n := len(s)) <= most), default=0)
+            for row in rows:
+                for cell, t, z in row:
+                    if z - t == 1:
+                        widths[t] = max(widths[t], wide(cell))
+            for row in rows:
+                for cell, t, z in row:
+                    if z - t > 1 and (n := wide(cell)):
+                        widths[z - 1] += max(0, n - sum(widths[t:z]) - 2 * (z - t - 1))
+            return list(accumulate((w + 2 for w in widths), initial=0))
+
+        def taken(most: int) -> int:
+            """Characters before the last cell of each line."""
+            at = edges(most)
+            return sum(h * max((at[t] for cell, t, _ in row if cell), default=0) for h, row in zip(heights, rows))
+
+        sizes = sorted({len(s) for row in rows for cell, _, _ in row for s in cell} | {0})
+        low, high = -1, len(sizes) - 1
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if taken(sizes[middle]) <= PADDED * text else (low, middle - 1)
+        at = edges(sizes[low]) if low >= 0 else None
         out = []
-        for row in rows:
-            for k in range(max((len(cell) for cell, _ in row), default=0)):
-                col, parts = 0, []
-                for cell, span in row:
-                    width = sum(widths[col : col + span]) + 2 * (span - 1)
-                    parts.append((cell[k] if k < len(cell) else "").ljust(width))
-                    col += span
-                out.append("  ".join(parts).rstrip())
+        for row, height in zip(rows, heights):
+            for k in range(height):
+                parts = []
+                for cell, t, z in row:
+                    s = cell[k] if k < len(cell) else ""
+                    parts.append(s.ljust(at[z] - at[t] - 2) if at else s)
+                out.append("  ".join(parts).rstrip(WHITE))
         return out
 
 
@@ -374,6 +409,9 @@ def render(source: str | None) -> str:
             boxed, seen = drawn(attributes(node.attrs), seen)
         if not boxed:
             continue
+        kids = node.kids
+        if tag == "details" and not node.foreign and "open" not in attributes(node.attrs):
+            kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"][:1]
         if (node.foreign, tag) in LINED:
             flow.block(0)
         elif (node.foreign, tag) == ("math", "mtd"):
@@ -422,20 +460,19 @@ def render(source: str | None) -> str:
         elif tag == "q":
             flow.text("“", False)
         inner = pre or tag in ("pre", "xmp", "listing", "textarea", "plaintext")
-        kids = node.kids
         if inner and not pre and kids and isinstance(kids[0], str) and kids[0].startswith("\n"):
             kids = [kids[0][1:], *kids[1:]]
         if tag == "table":
             work.append((node, seen, pre, True))
             for kid in reversed(kids):
                 if isinstance(kid, str):
-                    if not kid.strip():
+                    if not kid.strip(WHITE):
                         continue
                 work.append((kid, seen, inner, False))
             continue
         work.append((node, seen, pre, True))
         if tag in ("tr", "thead", "tbody", "tfoot") and grids:
-            kids = [k for k in kids if not isinstance(k, str) or k.strip()]
+            kids = [k for k in kids if not isinstance(k, str) or k.strip(WHITE)]
         work += [(kid, seen, inner, False) for kid in reversed(kids)]
     while flows:
         flow = flows.pop()

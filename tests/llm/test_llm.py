@@ -701,3 +701,53 @@ def test_warc_derivatives_against_the_standard_library(spark):
             fields = [line.partition(": ") for line in r.block.split("\r\n") if line]
             assert [v for k, _, v in fields if k == "title"] == [" ".join(second.title.split())]
             assert [v.rsplit(" ", 1)[0] for k, _, v in fields if k == "outlink"] == second.links
+
+
+def test_columns_align_whatever_their_width():
+    render = html_layout.render
+    for n in (119, 120, 121, 130, 700):
+        assert render(f"<table><tr><td>{'w' * n}<td>B<tr><td>a<td>b</table>") == f"{'w' * n}  B\n{'a':{n}}  b"
+    many = render("<table>" + "<tr><td colspan=1000>a" * 8000 + "</table>")
+    assert many.splitlines() == ["a"] * 8000
+    page = "<table><tr>" + "<td>x" * 1000 + "<tr><td colspan=999>a<td>b" * 8000 + "</table>"
+    assert len(render(page)) < 20 * len(page) and render(page).count("b") == 8000
+    lines = render("<table><tr><td>one<td>two<td>three<tr><td colspan=2>wide cell here<td>z</table>").splitlines()
+    assert lines[0].index("three") == lines[1].index("z")
+
+
+def test_details_ruby_and_no_break_spaces():
+    render = html_layout.render
+    assert render("<details><summary>s</summary>no<p>no</details>a") == "s\na" and render("<details open><summary>s</summary>yes</details>") == "s\nyes"
+    assert render("<details>no</details>a<details open=''>b</details>") == "a\nb" and render("<details><p>no<summary>s</summary><summary>no</summary></details>") == "s"
+    assert render("<ruby>x<rp>(</rp><rt>y</rt><rp>)</rp></ruby>") == "xy"
+    assert render("a&nbsp;&nbsp;b \t c\u2003d") == "a\xa0\xa0b c\u2003d" and render("<p>a&nbsp;<p>b") == "a\xa0\n\nb"
+    assert render("<div aria-hidden=true>a</div>") == "a"
+
+
+def test_html_text_against_the_standard_library(spark):
+    """Visible characters of the corpus' pages in order, by html.parser: a second way to the same text."""
+    from html.parser import HTMLParser
+
+    class Second(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.text, self.skip = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("head", "script", "style")
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("head", "script", "style")
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.text.append(data)
+
+    pages = common.table(spark, SF, "pages")
+    got = {r.page_id: r.text for r in html_layout.extract(pages).collect()}
+    bare = lambda s: "".join(re.sub(r"(?m)^ *(- |[0-9]+\\. )", "", s).split())
+    for r in pages.collect():
+        second = Second()
+        second.feed(r.html)
+        second.close()
+        assert "".join(bare(got[r.page_id]).split()).replace("-", "") == "".join("".join(second.text).split()).replace("-", "")
