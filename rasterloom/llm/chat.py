@@ -97,7 +97,8 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
 
     loss: byte spans of the loss role's escaped texts. Turns go by turn number (nulls first), then role and text;
     repeated rows are turns of their own; null roles and texts are empty; rows with a null id form one
-    conversation. A conversation is one record, so its turns meet in one task, batch by batch. Other columns
+    conversation. A conversation is one record, so its turns meet in one task, batch by batch; its bytes must fit
+    a binary value of Spark (2 GB). Texts are whole however long; an empty table gives an empty result. Other columns
     are not read.
     """
     small_batches(turns.sparkSession)
@@ -130,10 +131,13 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
             code = np.asarray(ids.dictionary_encode(null_encoding="encode").indices)
             other = np.flatnonzero(code != code[-1])
             at = int(other[-1]) + 1 if len(other) else 0
-            if at or held:
-                ready = pa.Table.from_batches([*held, b.slice(0, at)])
-                if ready.num_rows:
-                    yield settle(ready)
+            more = 0
+            if held:  # a conversation that goes over several batches is settled alone
+                if held[-1].column(0)[-1].as_py() == ids[0].as_py():
+                    more = int(np.flatnonzero(code != code[0])[0])
+                yield settle(pa.Table.from_batches([*held, b.slice(0, more)]))
+            if at > more:
+                yield settle(pa.Table.from_batches([b.slice(more, at - more)]))
             held = [b.slice(at)]
         if held:
             yield settle(pa.Table.from_batches(held))

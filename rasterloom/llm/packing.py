@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import cut, small_batches, table, tokenizer_path
+from rasterloom.llm.common import cut, fresh, small_batches, table, tokenizer_path
 
 CAPACITY = 2048
 END_ID = 0
@@ -36,9 +36,11 @@ LONG_SPACE = 100_000
 class ByteTokenizer:
     """Ids of a byte-level BPE `tokenizers` file as bytes (little-endian unsigned 32-bit), without special tokens added.
 
-    `ranks`: a file with the same vocabulary as ranks. Whole texts are then encoded by ranks, several times faster
-    and to the same ids; texts that spell a special token or hold a very long run of white space always go through
-    the tokenizers file itself.
+    `ranks`: a file with the same vocabulary as ranks. Whole texts are then encoded by ranks, several times faster.
+    The ids are the same either way: both cut a text by one and the same pattern and then join the pair of lowest
+    rank in each part until none is left, which has one outcome, so choosing between them is a choice of library
+    only. Two kinds of text go through the tokenizers file always: those that spell a special token, which the
+    ranks do not know, and those with a run of white space at which the other library's pattern engine gives up.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
@@ -82,7 +84,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         encode = ByteTokenizer(path, ranks).encode
         for b in batches:
             for lo in range(0, b.num_rows, 64):
-                at, rows, ids = [], [], []
+                at, rows, raws = [], [], []
                 part = b.slice(lo, 64)
                 for i, text in enumerate(part.column(1).to_pylist()):
                     raw = encode(text or "") + tail
@@ -93,12 +95,13 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                         chunk = raw[start * 4 : end * 4]
                         at.append(i)
                         rows.append((p, start, end - start, zlib.crc32(chunk)))
-                        if with_ids:
-                            ids.append(np.frombuffer(chunk, "<u4").astype(np.int32))
                         start = end
+                    raws.append(raw)
                 cols = np.array(rows, np.int64).reshape(-1, 4).T
                 out = [part.column(0).take(pa.array(at, pa.int32())), pa.array(cols[0].astype(np.int32)), *map(pa.array, cols[1:])]
-                yield pa.RecordBatch.from_arrays(out + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+                if with_ids:  # a document's pieces follow one another, so all ids are one buffer
+                    out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(cols[2])].astype(np.int32)), pa.array(np.frombuffer(b"".join(raws), "<u4").astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
@@ -257,13 +260,16 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, ranked_rows: int = RAN
     """cut_pieces (a written Parquet table) with sequence_id and offset; every row is placed, sequences hold <= capacity.
 
     Salts also hash a row's place in its file, so that repeated rows of one id are spread as well. Ids may be null or repeat: each row is a piece of its own. An empty table gives an empty result.
+    Further columns stay, but for sequence_id and offset, which are replaced.
     """
     spark = cut_pieces.sparkSession
     sizes = {r["length"]: r["count"] for r in cut_pieces.groupBy("length").count().collect()}
     each = max(ranked_rows, -(-sum(sizes.values()) // RANK_GROUPS))
     salts = F.element_at(F.array(*[F.lit(-(-sizes.get(k, 1) // each)) for k in range(1, capacity + 1)]), F.col("length").cast("int"))
-    salted = cut_pieces.withColumn("salt__", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "_metadata.row_index"), salts).cast("int"))
-    tallies = sorted((r["length"], r["salt__"], r["count"]) for r in salted.groupBy("length", "salt__").count().collect())
+    names = [c for c in cut_pieces.columns if c not in ("sequence_id", "offset")]
+    salt_col, rank_col = fresh("salt__", cut_pieces), fresh("rank__", cut_pieces)
+    salted = cut_pieces.withColumn(salt_col, F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "_metadata.row_index"), salts).cast("int"))
+    tallies = sorted((r["length"], r[salt_col], r["count"]) for r in salted.groupBy("length", salt_col).count().collect())
     counts: dict[int, int] = defaultdict(int)
     firsts = []
     for length, salt, n in tallies:
@@ -271,9 +277,8 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, ranked_rows: int = RAN
         counts[length] += n
     runs = spark.sparkContext.broadcast(runs_of(plan(counts, capacity)))
     starts = spark.sparkContext.broadcast(np.array(firsts, np.int64).reshape(-1, 3))
-    rank = F.row_number().over(Window.partitionBy("length", "salt__").orderBy("doc_id", "piece", "start", "ids_crc32")).cast("long") - 1
-    ranked = salted.withColumn("rank__", rank)
-    names = cut_pieces.columns
+    rank = F.row_number().over(Window.partitionBy("length", salt_col).orderBy("doc_id", "piece", "start", "ids_crc32")).cast("long") - 1
+    ranked = salted.withColumn(rank_col, rank)
 
     def run(batches):
         r, s = runs.value, starts.value
@@ -281,12 +286,12 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, ranked_rows: int = RAN
         span = int(r[:, 1].max(initial=0)) + 1 + int(s[:, 2].max(initial=0))
         run_key = r[:, 0].astype(object) * span + r[:, 1] if span > 1 << 50 else r[:, 0] * span + r[:, 1]
         for b in batches:
-            length, salt, at = (np.asarray(b.column(b.schema.get_field_index(c))).astype(np.int64) for c in ("length", "salt__", "rank__"))
+            length, salt, at = (np.asarray(b.column(b.schema.get_field_index(c))).astype(np.int64) for c in ("length", salt_col, rank_col))
             at = at + s[np.searchsorted(first_key, length * (1 << 20) + salt), 2]
             i = np.searchsorted(run_key, length * span + at, side="right") - 1
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in names] + [pa.array(r[i, 2] + at - r[i, 1]), pa.array(r[i, 3])], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema) + ", sequence_id long, offset long")
+    return ranked.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema if f.name in names) + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

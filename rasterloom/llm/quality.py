@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from rasterloom.llm.common import held_out, small_batches, table
+from rasterloom.llm.common import column, held_out, small_batches, table
 
 #: Labelled rows that a fit takes at most (those with the smallest hash of their id); 0.5 MB as statistics.
 SAMPLE = 20_000
@@ -56,7 +56,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "q__"
             x = np.array([statistics(t) for t in b.column(at).to_pylist()], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in x.T)], [*names, *(prefix + f for f in FEATURES)])
 
-    return docs.mapInArrow(run, StructType([*docs.schema, *(StructField(prefix + f, DoubleType()) for f in FEATURES)]))
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, StructType([*docs.schema, *(StructField(prefix + f, DoubleType()) for f in FEATURES)]))
 
 
 def grow(x: np.ndarray, edges: list[np.ndarray], binned: np.ndarray, grad: np.ndarray, hess: np.ndarray, rows: np.ndarray, depth: int, path: tuple, rules: list, step: np.ndarray) -> None:
@@ -172,15 +172,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(got[:, 1:], (got[:, 0] > 0.5).astype(float))
 
 
-def score(docs: DataFrame, model: tuple[float, list], text_col: str = "text") -> DataFrame:
-    """docs with score and the statistics columns. Null and empty texts score by the rules that hold at zero."""
-    return with_statistics(docs, text_col).withColumn("score", compile_rules(model))
+def score(docs: DataFrame, model: tuple[float, list], text_col: str = "text", prefix: str = "q__") -> DataFrame:
+    """docs with score and the statistics columns; columns of docs by these names are replaced.
+
+    Texts are read whole however long they are; null and empty ones score by the rules that hold at zero. Repeated
+    rows stay; an empty table gives an empty result.
+    """
+    own = [prefix + f for f in FEATURES]
+    kept = docs.select(*[column(c) for c in docs.columns if c.lower() not in {n.lower() for n in own}])
+    return with_statistics(kept, text_col, prefix).withColumn("score", compile_rules(model, prefix))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' rows (own columns, one named score included) that score at least threshold."""
-    kept = with_statistics(docs, text_col).where(compile_rules(train(docs, labels, id_col, text_col)) >= threshold)
-    return kept.select(*docs.columns)
+    """docs' rows (own columns, whatever their names) that score at least threshold."""
+    prefix = "q__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    kept = with_statistics(docs, text_col, prefix).where(compile_rules(train(docs, labels, id_col, text_col), prefix) >= threshold)
+    return kept.select(*[column(c) for c in docs.columns])
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

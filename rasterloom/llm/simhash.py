@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import cut, discard, small_batches, table
+from rasterloom.llm.common import column, cut, discard, fresh, small_batches, table
 from rasterloom.operators.components import connected_components
 
 SHINGLE = 3
@@ -255,9 +255,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def row_hash(docs: DataFrame, text_col: str) -> Column:
     """Hash of a whole row, its text first; what cannot be hashed counts as a string."""
-    name = lambda c: F.col(f"`{c.replace('`', '``')}`")
     odd = lambda c: any(k in docs.schema[c].dataType.simpleString() for k in ("map<", "variant"))
-    return F.xxhash64(F.col(text_col), *[name(c).cast("string") if odd(c) else name(c) for c in docs.columns])
+    return F.xxhash64(column(text_col), *[column(c).cast("string") if odd(c) else column(c) for c in docs.columns])
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -271,17 +270,19 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = cut(own.join(components(own, max_bits).drop("component_id"), "fp").select("root", "doc_id", "fp", "row"), "members")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")
     first = cut(members.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-                .select("root", F.col("first.doc_id").alias("id__"), F.col("first.row").alias("row__")), "first")
-    same = lambda c, h: c.eqNullSafe(F.col("id__")) & (h == F.col("row__"))
-    grouped = members.join(first, "root").withColumn("stays", same(F.col("doc_id"), F.col("row")))
-    gone = cut(grouped.where("NOT stays").select(F.col("doc_id").alias("id__"), F.col("row").alias("row__")).distinct(), "gone")
-    again = cut(grouped.where("stays").groupBy("id__", "row__").count().where("count > 1").select("id__", "row__"), "again")
+                .select("root", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row")), "first")
+    grouped = members.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("row") == F.col("first_row")))
+    i, r = fresh("id__", docs), fresh("row__", docs)
+    pairs = grouped.select("stays", F.col("doc_id").alias(i), F.col("row").alias(r))
+    gone = cut(pairs.where("NOT stays").select(i, r).distinct(), "gone")
+    again = cut(pairs.where("stays").groupBy(i, r).count().where("count > 1").select(i, r), "again")
     discard(own, members, first)
-    this = lambda: same(F.col(id_col), row_hash(docs, text_col))
+    this = lambda: column(id_col).eqNullSafe(F.col(i)) & (row_hash(docs, text_col) == F.col(r))
     left = docs.join(gone, this(), "left_anti")
     if again.isEmpty():
+        discard(again)
         return left
-    once = left.join(again, this(), "left_semi").withColumn("row__", row_hash(docs, text_col)).dropDuplicates([id_col, "row__"]).drop("row__")
+    once = left.join(again, this(), "left_semi").withColumn(r, row_hash(docs, text_col)).dropDuplicates([id_col, r]).drop(r)
     return left.join(again, this(), "left_anti").unionAll(once)
 
 

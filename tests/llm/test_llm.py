@@ -751,3 +751,67 @@ def test_html_text_against_the_standard_library(spark):
         second.feed(r.html)
         second.close()
         assert "".join(bare(got[r.page_id]).split()).replace("-", "") == "".join("".join(second.text).split()).replace("-", "")
+
+
+CLASH = ["id__", "row__", "q__digit", "q___digit", "ROOT", "fp", "salt__", "rank__", "sequence_id", "offset", "a.b", "gone", "n", "length", "key"]
+
+
+def test_columns_that_clash(spark):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in ODD] + [(20, "some words " * 40, "en", "s", 1), (21, "some words " * 40, "en", "s", 1)]
+    df = spark.createDataFrame(rows, TEXT)
+    for c in CLASH:
+        df = df.withColumn(c, F.lit(7))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    assert quality.quality_filter(df, labels, 0.0).columns == df.columns and quality.quality_filter(df, labels, 0.0).count() == len(rows)
+    assert quality.score(df, (0.0, [])).where("score <> 0.5").count() == 0
+    kept = language.language_filter(df)
+    assert kept.columns == df.columns and 0 < kept.count() <= len(rows)
+    once = simhash.deduplicate(df)
+    assert once.columns == df.columns and once.count() == len({c for _, _, c in brute_simhash([r[:2] for r in rows])})
+    given = common.cut(packing.pieces(df).withColumn("salt__", F.lit("s")).withColumn("rank__", F.lit(1)).withColumn("offset", F.lit("x")), "p")
+    out = packing.pack(given)
+    assert sorted(out.columns) == sorted([*packing.pieces(df).columns, "salt__", "rank__", "sequence_id", "offset"]) and out.count() == packing.pieces(df).count()
+
+
+def test_lasso_is_optimal():
+    """Conditions of an optimum: a weight's gradient is the penalty against its sign, that of a zero weight at most the penalty, the intercept's zero."""
+    rng = np.random.default_rng(17)
+    z = (rng.random((400, 30)) < 0.4) * rng.normal(1, 0.3, 30)
+    y = (rng.random(400) < quality.sigmoid(z[:, 0] * 2 - z[:, 1] * 1.5 - 0.2)).astype(float)
+    for penalty in (0.1, 0.03, 0.005):
+        w = quality.lasso(z, y, penalty, np.zeros(31), 20000)
+        g = z.T @ (quality.sigmoid(w[0] + z @ w[1:]) - y) / len(y)
+        assert abs((quality.sigmoid(w[0] + z @ w[1:]) - y).mean()) < 1e-3
+        assert np.abs(g + penalty * np.sign(w[1:]))[w[1:] != 0].max(initial=0) < 1e-3 and np.abs(g).max() < penalty + 1e-3
+    assert (quality.lasso(z, y, 1.0, np.zeros(31), 5000)[1:] == 0).all()
+
+
+def test_rules_are_the_paths_of_trees():
+    rng = np.random.default_rng(18)
+    x = rng.random((500, 4))
+    y = ((x[:, 0] > 0.5) & (x[:, 2] <= 0.3)).astype(float)
+    rules: list = []
+    edges = [np.linspace(0.1, 0.9, 9)] * 4
+    binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], 1)
+    step = np.zeros(500)
+    quality.grow(x, edges, binned, y - 0.5, np.full(500, 0.25), np.arange(500), 2, (), rules, step)
+    leaves = [r for r in rules if not any(len(o) > len(r) and o[: len(r)] == r for o in rules)]
+    cover = np.stack([quality.holds(r, x) for r in leaves])
+    assert (cover.sum(0) == 1).all() and all(len(np.unique(step[c])) == 1 for c in cover)
+    intercept, kept = quality.fit(x, y)
+    z = intercept + sum(w * quality.holds(r, x) for r, w in kept)
+    assert ((z > 0) == (y > 0.5)).mean() > 0.97 and 0 < len(kept) < 60
+
+
+def test_conversations_over_batches(spark):
+    """Arrow batches of two rows: conversations begin, end and go on at every place of a batch."""
+    rng = np.random.default_rng(19)
+    rows = [(int(c), t, ["user", "assistant"][t % 2], f"t{c}-{t}") for c in range(40) for t in range(int(rng.integers(1, 7)))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        out = {r.conv_id: chat.parse(bytes(r.formatted)) for r in chat.format_conversations(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert out == {c: [(r[2], r[3]) for r in rows if r[0] == c] for c in range(40)}
