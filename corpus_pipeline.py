@@ -1,7 +1,7 @@
 """Corpus pipeline: language ID, quality classifier, SimHash near-dedup, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; the first three return the
-columns of documents, the last the packed pieces with their token ids. run() writes every stage to the shared folder and rereads it.
+columns of documents, the last the packed pieces. run() writes every stage to the shared folder and rereads it.
 """
 
 from rasterloom.llm import language, packing, quality, simhash
@@ -24,8 +24,8 @@ def drop_near_duplicates(spark, docs, sf_dir):
 
 
 def pack(spark, docs, sf_dir):
-    """Every piece with its sequence, its place there and its token ids: the packed corpus itself."""
-    return packing.pack_documents(docs, with_ids=True)
+    """Every piece with its sequence and its place there; packing.pack_documents(docs, with_ids=True) adds the token ids."""
+    return packing.pack_documents(docs)
 
 
 STAGES = [("language", identify_language), ("quality", classify_quality), ("simhash", drop_near_duplicates), ("packing", pack)]
