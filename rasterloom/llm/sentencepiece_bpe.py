@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -198,13 +199,20 @@ def broken_utf8(raw: bytes) -> str:
         return "".join(out)
 
 
+@lru_cache(maxsize=1)
+def coders(path: str) -> tuple[Encoder, Decoder]:
+    """A worker process builds these once and keeps its segments from task to task."""
+    model = PieceModel(path)
+    return Encoder(model), Decoder(model)
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text; a null text counts as empty and has no ids."""
     small_batches(docs.sparkSession)
     path = path or tokenizer_path(MODEL)
 
     def run(batches):
-        encoder = Encoder(PieceModel(path))
+        encoder, _ = coders(path)
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
@@ -221,7 +229,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path(MODEL)
 
     def run(batches):
-        decoder = Decoder(PieceModel(path))
+        _, decoder = coders(path)
         for b in batches:
             texts = [decoder.decode(np.array(i or [], np.int64)) for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -232,14 +240,15 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def round_trip_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) in one pass: encode, digest the ids, decode them, digest the text.
 
-    Every row of docs gives one row; null texts count as empty; other columns are not read.
+    Every row of docs gives one row, repeated ones too; texts are whole however long; null texts count as empty. An
+    empty table gives an empty result; other columns are not read.
     """
     small_batches(docs.sparkSession)
     path = path or tokenizer_path(MODEL)
 
     def run(batches):
-        model = PieceModel(path)
-        encoder, decoder, digits = Encoder(model), Decoder(model), [str(i) for i in range(len(model.pieces))]
+        encoder, decoder = coders(path)
+        digits = [str(i) for i in range(encoder.wide)]
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for b in batches:
             for lo in range(0, b.num_rows, 64):
