@@ -247,7 +247,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     """
     spark = vectors.sparkSession
     rows = cut(quantised(vectors, id_col, vec_col, scale), "rows")
-    asked = cut(quantised(queries, id_col, vec_col, scale).select("vec_id", "dim", "x").distinct().withColumn("q", F.monotonically_increasing_id()), "asked")
+    asked = quantised(queries, id_col, vec_col, scale).select("vec_id", "dim", "x").distinct().withColumn("q", F.monotonically_increasing_id())
     shared = spark.sparkContext.broadcast(cells(rows, shard, pivots))
 
     def assign(b, top, centres):
@@ -271,13 +271,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     trees = cut(dealt.join(F.broadcast(parts), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
                 .select("dim", "cell", "part", "vec_id", "x").groupBy("dim", "cell", "part").applyInArrow(build, kinds), "trees")
 
-    def search(pairs: DataFrame, label: str) -> DataFrame:
-        """(q, query_id, vec_id, score) of pairs (dim, cell, part, q, vec_id, x, least): every shard meets its queries in blocks, each block a task's work of its own."""
-        counts = pairs.groupBy("dim", "cell", "part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        blocked = cut(pairs.join(counts, ["dim", "cell", "part"]).withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int")), "pairs")
-        wanted = blocked.select(*[F.col(c).alias(c) for c in ("dim", "cell", "part", "block")]).distinct()
-        every = trees.join(wanted, ["dim", "cell", "part"])
-        keys = ["dim", "cell", "part", "block"]
+    def search(pairs: DataFrame) -> DataFrame:
+        """(q, query_id, vec_id, score) of pairs (dim, cell, part, q, vec_id, x, least), a written table: every shard meets its queries in blocks, each block a task's work of its own."""
+        shards, keys = ["dim", "cell", "part"], ["dim", "cell", "part", "block"]
+        counts = pairs.groupBy(*shards).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        blocked = pairs.join(counts, shards).withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int"))
+        blocks = counts.select(*[F.col(c).alias(c) for c in shards], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        every = trees.join(blocks, shards)
 
         def run(left, right):
             out = [[], [], [], []]
@@ -290,11 +290,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
                             c.append(v)
             return pa.table([pa.array(c, pa.int64()) for c in out], names=["q", "query_id", "vec_id", "score"])
 
-        found = every.groupBy(*keys).cogroup(blocked.select(*keys, "q", "vec_id", "x", "least").groupBy(*keys)).applyInArrow(run, "q long, query_id long, vec_id long, score long")
+        return every.groupBy(*keys).cogroup(blocked.select(*keys, "q", "vec_id", "x", "least").groupBy(*keys)).applyInArrow(run, "q long, query_id long, vec_id long, score long")
+
+    def ranked(found: DataFrame) -> DataFrame:
         w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-        out = cut(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), label)
-        discard(blocked)
-        return out
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     def nearest(b, _, __):
         dim = b.column(1)[0].as_py()
@@ -306,7 +306,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
 
     pair = "vec_id long, dim int, x binary, q long, cell int, part int, least long"
     seeds = cut(with_pivots(asked, ["vec_id", "dim", "x", "q"], pair, shared, nearest), "seeds")
-    first = search(seeds, "first")
+    first = cut(ranked(search(seeds)), "first")
     least = first.where(F.col("rank") == k).select("q", F.col("score").alias("reached"))
 
     def surviving(b, _, __):
@@ -324,11 +324,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
         i = pa.array(i[new])
         return pa.RecordBatch.from_arrays([*(b.column(c).take(i) for c in range(4)), pa.array(cell[new].astype(np.int32)), pa.array(part[new].astype(np.int32)), reached.take(i)], ["vec_id", "dim", "x", "q", "cell", "part", "least"])
 
-    more = with_pivots(seeds.drop("least").join(least, "q", "left"), ["vec_id", "dim", "x", "q", "cell", "part", "reached"], pair, shared, surviving)
-    both = first.drop("rank").unionByName(search(more, "second").drop("rank"))
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    out = cut(both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best")
-    discard(rows, asked, trees, seeds, first)
+    more = cut(with_pivots(seeds.drop("least").join(least, "q", "left"), ["vec_id", "dim", "x", "q", "cell", "part", "reached"], pair, shared, surviving), "pairs")
+    out = cut(ranked(first.drop("rank").unionByName(search(more))).select("query_id", "rank", "vec_id", "score"), "best")
+    discard(rows, trees, seeds, first, more)
     return out
 
 
