@@ -60,7 +60,7 @@ def edge_inputs(s, d):
 
 def fixed(maps):
     """Edge pixels at the fixed threshold of 0.20."""
-    return maps.where(F.col("v") * 100 >= 20 * 255).select("image_id", "detector", F.lit(20).alias("t"), "row", "col")
+    return edge_eval.at_threshold(maps, 20)
 
 
 def candidates(s, d):

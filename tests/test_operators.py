@@ -391,3 +391,23 @@ def test_csv_lines_and_files(spark, tmp_path):
     tables.write_rgb_histogram(hist.where("image_id = 0"), hist.where("image_id = 0"), str(tmp_path / "rgb"))
     (part,) = (tmp_path / "rgb").glob("part-*")
     assert part.read_text().splitlines()[:3] == ["value,R_before,G_before,B_before,R_after,G_after,B_after", "0,4,4,4,4,4,4", "1,2,2,2,2,2,2"]
+
+
+def test_matching_on_the_grid_equals_plain_matching():
+    rng = np.random.default_rng(12)
+    for n in range(150):
+        h, w, share = int(rng.integers(1, 9)), int(rng.integers(1, 30)), rng.random(2) * 0.7
+        a, b = (np.argwhere(rng.random((h, w)) < s) for s in share)
+        offsets = edge_eval.disc(1, 1, float(rng.choice([0.1, 0.8, 1.5, 2.2])))
+        pairs = [(i, j, int(((x - y) ** 2).sum())) for i, x in enumerate(a) for j, y in enumerate(b) if tuple(y - x) in set(offsets)]
+        assert edge_eval.matched_pixels(a, b, offsets) == edge_eval.matching_size(pairs)
+    assert edge_eval.matched_pixels(np.zeros((0, 2), int), np.ones((1, 2), int), [(0, 0)]) == 0
+
+
+def test_matching_takes_long_augmenting_paths():
+    line = np.array([(0, 2 * k) for k in range(400)])
+    assert edge_eval.matched_pixels(line, line + [0, 1], [(0, 1), (0, -1)]) == 400
+    assert edge_eval.matched_pixels(np.vstack([line, [[0, -2]]]), line + [0, -1], [(0, 1), (0, -1)]) == 400
+    # nearest pairs first leave both ends alone; one path over all pixels mends it
+    edges, truth = np.array([(0, 3 * k) for k in range(200)]), np.array([(0, 3 * k + 1) for k in range(199)] + [(0, -2)])
+    assert edge_eval.matched_pixels(edges, truth, [(0, 1), (0, -2)]) == 200
