@@ -184,13 +184,21 @@ def identify(rows: DataFrame, model: TextModel, id_col: str, text_col: str, decl
     (null, empty and numeric texts) or too low a posterior. Missing evidence of a kind is neutral; ties go to the
     language first in order. Repeated rows stay; an empty table gives an empty result.
     """
+    found, used = fused(rows, model, id_col, text_col, declared_col, url_col, markup)
+    out = cut(found, "languages")
+    discard(*used)
+    return out
+
+
+def fused(rows: DataFrame, model: TextModel, id_col: str, text_col: str, declared_col: str | None, url_col: str | None, markup: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """(what identify() returns, not written yet; the tables it reads, to be discarded once it is)."""
     langs = model.langs
     text = F.col(text_col).alias("text")
     none = F.lit(None).cast("string")
     own = cut(text_evidence(rows.select(F.col(id_col).alias("id"), text, (F.col(declared_col) if declared_col else none).alias("declared"), (F.col(url_col) if url_col else none).alias("url")), model, markup), "evidence")
     if not langs:
         out = own.select("id", F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), F.lit("und").alias("text_lang"), "declared", "host", F.lit(True).alias("rejected"))
-        return out
+        return out, [own]
     spread = own.where(F.col("letters") >= LEAST_LETTERS)
     hosts = cut(vector_sums(spread, ["host", "domain", "suffix"], "p"), "hosts")
     domains, suffixes, declared = (cut(vector_sums(df.where(F.col(c).isNotNull()), [c], v), c) for df, c, v in ((hosts, "domain", "n"), (hosts, "suffix", "n"), (spread, "declared", "p")))
@@ -242,17 +250,16 @@ def identify(rows: DataFrame, model: TextModel, id_col: str, text_col: str, decl
 
     joined = own.join(counts, "host", "left").join(said, "declared", "left").join(s.withColumnRenamed("cs", "cf"), "suffix", "left").select("id", "declared", "host", "letters", "ll", "p", "ch", "cd", "cs", "cv", "cf")
     kind = own.schema["id"].dataType.simpleString()
-    out = cut(joined.mapInArrow(fuse, f"id {kind}, lang string, posterior double, text_lang string, declared string, host string, rejected boolean").withColumn("posterior", F.round("posterior", 6)), "languages")
-    discard(own, hosts, domains, suffixes, declared, counts)
-    return out
+    out = joined.mapInArrow(fuse, f"id {kind}, lang string, posterior double, text_lang string, declared string, host string, rejected boolean").withColumn("posterior", F.round("posterior", 6))
+    return out, [own, hosts, domains, suffixes, declared, counts]
 
 
 def language_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """docs' rows (own columns) that identify() does not reject. Rows that share an id stand or fall with the best of them."""
-    found = identify(docs, fit_text_model(docs, text_col, lang_col, id_col), id_col, text_col, lang_col, source_col)
+    found, used = fused(docs, fit_text_model(docs, text_col, lang_col, id_col), id_col, text_col, lang_col, source_col, False)
     own = fresh("id__", docs)
     gone = cut(found.groupBy(F.col("id").alias(own)).agg(F.min("rejected").alias("all")).where("all").select(own), "gone")
-    discard(found)
+    discard(*used)
     return docs.join(gone, F.col(id_col).eqNullSafe(F.col(own)), "left_anti")
 
 
