@@ -195,26 +195,42 @@ def link_runs(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndar
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
+def common_neighbours(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star in each run of equal keys (rows sorted by key): all of a run are within two bits of one another."""
+    starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, int)
+    first = np.repeat(fps[starts], np.diff(np.r_[starts, len(keys)]))
+    return first[first != fps], fps[first != fps]
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between distinct fingerprints, enough to connect all that link within max_bits.
 
     fps: one row per distinct fingerprint, as a written table. Every bucket with more than `block` rows is dealt
-    into blocks and each pair of blocks is a task's work of its own; buckets are never gathered whole.
+    into blocks and each pair of blocks is a group of its own; buckets are never gathered whole. Where that makes
+    more blocks than a fingerprint has neighbours at one bit or none, and max_bits is 2, a bucket's fingerprints
+    meet at those neighbours instead: two are within two bits if and only if they have one in common, and at most
+    65 fingerprints have the same one. So a bucket's work grows with its size and not with the square of it.
     """
     masks = plan_masks(fps, max_bits)
     rows = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)])).alias("k")).select("k.m", "k.v", "fp")
     sizes = rows.groupBy("m", "v").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
-    dealt = (rows.join(sizes, ["m", "v"]).withColumn("nb", blocks).withColumn("own", own)
-             .select("m", "v", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-             .select("m", "v", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("s"), "fp"))
+    # The bits outside the mask, which the bucket's fingerprints may differ in.
+    bits = F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), F.col("m") + 1)
+    free = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(bits, b) == 0)
+    neighbours = F.concat(F.array("fp"), F.transform(free, lambda b: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))
+    group = lambda v, r, s: F.struct(v.alias("v"), r.alias("r"), s.alias("s"))
+    at_neighbours = F.transform(neighbours, lambda v: group(v, F.lit(-1), F.lit(-1)))
+    in_blocks = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: group(F.col("v"), F.least("own", o), F.greatest("own", o)))
+    many = F.lit(max_bits == 2) & (F.col("nb") > 65 - F.bit_count(bits))
+    dealt = (rows.join(sizes, ["m", "v"]).withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
+             .select("m", "fp", F.explode(F.when(many, at_neighbours).otherwise(in_blocks)).alias("g")).select("m", "g.v", "g.r", "g.s", "fp"))
     keys = ["m", "v", "r", "s"]
 
     def run(batches):
         held_k, held_f = np.zeros((0, 4), np.int64), np.zeros(0, np.uint64)
         def edges(k, f):
-            a, b = link_runs(k, f, max_bits)
+            met = k[:, 2] < 0
+            a, b = (np.concatenate(x) for x in zip(link_runs(k[~met], f[~met], max_bits), common_neighbours(k[met], f[met])))
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
         for batch in batches:
             k = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)], 1)

@@ -176,6 +176,25 @@ def test_simhash_links_with_small_blocks(spark):
         assert len({(want[f], got[f]) for f in fps}) == len(set(want.values())) == len(set(got.values()))
 
 
+def test_simhash_hot_buckets_meet_at_common_neighbours(spark, monkeypatch):
+    """Buckets of far more blocks than a fingerprint has neighbours, beside small ones; signs and the free top bit included."""
+    rng = np.random.default_rng(5)
+    low, top = (1 << 62) + 12345, -(1 << 63) + 99
+    near = {int(low) ^ sum(1 << int(b) for b in rng.choice(40, rng.integers(0, 7), False)) for _ in range(900)}
+    wide = {top ^ sum(1 << int(b) for b in rng.choice(62, 3, False)) for _ in range(60)} | {0, -1, -(1 << 63)}
+    fps = sorted(near | wide)
+    df = common.cut(spark.createDataFrame([(f,) for f in fps], "fp long"), "t")
+    called = []
+    monkeypatch.setattr(simhash, "plan_masks", lambda *a: called.append(a) or [-1 << 42, (1 << 21) - 1, ((1 << 21) - 1) << 21])
+    edges = [tuple(r) for r in simhash.links(df, 2, block=4).collect()]
+    word = (1 << 64) - 1
+    far = lambda a, b: ((a ^ b) & word).bit_count()
+    assert called and all(far(a, b) <= 2 for a, b in edges)
+    got = components(fps, edges)
+    want = components(fps, [(a, b) for k, a in enumerate(fps) for b in fps[k + 1 :] if far(a, b) <= 2])
+    assert {f: got[f] for f in fps} == want and len(set(want.values())) > 3
+
+
 def test_candidate_estimates():
     rng = np.random.default_rng(9)
     v = np.append(rng.integers(0, 1 << 12, 600), [5, 5, 7]).astype(np.uint64)
