@@ -594,6 +594,21 @@ def test_embedding_recall_near_the_threshold(spark):
     assert (got.kept == (got.vec_id == got.component_id)).all()
 
 
+def test_embedding_sql_on_planted_links(spark, tmp_path):
+    """The SQL compares all pairs; links here lie clear of the threshold, so hashing must find every one."""
+    rng = np.random.default_rng(21)
+    centres = rng.standard_normal((6, 64))
+    x = [c + rng.standard_normal(64) * 0.12 for c in centres for _ in range(12)] + list(rng.standard_normal((80, 64))) + [centres[0]] * 5
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [0.0] * 64), (502, [float("nan")] * 64), (503, [1.0, None]), (504, []), (505, [1.0, 2.0]), (506, [2.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.sql(embedding_dedup.OP5_SQL).fetchall())
+    got = sorted(map(tuple, embedding_dedup.op5_embedding_dedup(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect()))
+    assert got == want and sum(r[1] for r in want) > 700
+
+
 def test_embedding_plan_holds_recall():
     for n in (1, 600, 10**5, 10**9):
         tables, k = embedding_dedup.plan_tables(n)
