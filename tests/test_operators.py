@@ -457,3 +457,14 @@ def test_candidates_of_a_tall_image(spark):
         near = {(i, int(j)) for j, lo, hi in edge_eval.bands(offsets).tolist() for i in range(lo, hi + 1)}
         wanted = [(k, *a, *b, int(((b - a) ** 2).sum())) for k in (1, 2) for a in spots[0] for b in spots[k] if tuple(b - a) in near]
         assert sorted(map(tuple, found)) == sorted(wanted)
+
+
+def test_precision_and_means_of_a_tall_image(spark):
+    rng = np.random.default_rng(11)
+    own = np.unique(np.stack([rng.integers(0, 5000, 400), rng.integers(0, 60, 400)], 1), axis=0)
+    edges = spark.createDataFrame([(0, "d", 20, int(i), int(j)) for i, j in own], "image_id long, detector string, t int, row int, col int").repartition(3)
+    truth = spark.createDataFrame([(0, k, int(i), int(j) + k) for k in (1, 2) for i, j in own[:: k]], "image_id long, gt_id int, row int, col int").repartition(3)
+    pr = edge_eval.edge_pr(edges, truth, edge_eval.disc_bands(120_000, 64))
+    assert {(r.gt_id, r.tp, r.n_edge, r.n_gt) for r in pr.collect()} == {(k, len(own[::k]), len(own), len(own[::k])) for k in (1, 2)}
+    (mean,) = edge_eval.edge_pr_mean(pr).collect()
+    assert abs(mean.p - (1 + len(own[::2]) / len(own)) / 2) < 1e-9 and abs(mean.r - 1) < 1e-9
